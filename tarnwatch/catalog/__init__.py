@@ -3,6 +3,7 @@
 from . import (  # noqa: F401  (importing a module registers its queries)
     intake,
     grading,
+    windows,
 )
 from .registry import ORACLE_SQL, QUERIES
 

@@ -3,13 +3,25 @@
 `percentile` keeps every distinct value of a group in one aggregation buffer, which a fleet-wide group does not
 fit. Here the values are counted per distinct value (map-side combined), counted again per logarithmic bin (a few
 thousand at most per group whatever the data), the bins that hold the wanted ranks are found from those counts, and
-only their values are ranked. The answer is exact; nothing is sampled or sketched.
+only their values are ranked. The answer is exact; nothing is sampled or sketched. The distinct-value counts feed
+two branches of one plan, and Spark reuses their shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwatch.constants import MAD_TO_STD
+
 BINS_PER_E = 256
+VALUE, WEIGHT = "_x", "_m"
+POOLED = "\x00all"
+
+
+def value_counts(df: DataFrame, keys, value) -> DataFrame:
+    """Rows per key and distinct non-null value."""
+    value = F.col(value) if isinstance(value, str) else value
+    src = df.select(*keys, value.cast("double").alias(VALUE)).filter(F.col(VALUE).isNotNull())
+    return src.groupBy(*keys, VALUE).agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
 def _bin(value: Column) -> Column:
@@ -17,45 +29,50 @@ def _bin(value: Column) -> Column:
     return F.floor(F.asinh(value / 0.01) * BINS_PER_E)
 
 
-def order_stats(df: DataFrame, keys, value: str, ranks: dict) -> DataFrame:
-    """One row per key: for each name, the value at the 0-based rank `ranks[name](n)` of the non-null values.
-
-    `n` is the group's non-null count, also returned as `n`. Ranks outside 0..n-1 give NULL.
-    """
-    keys = list(keys)
-    src = df.filter(F.col(value).isNotNull())
-    counts = src.groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_m"))
-    counts = counts.withColumn("_bin", _bin(F.col("_x")))
-    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_m").alias("_m"))
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    bins = bins.withColumn("n", F.sum("_m").over(per_key)).withColumn(
-        "_below", F.sum("_m").over(per_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+def _ranked(counts: DataFrame, keys, ranks: dict) -> DataFrame:
+    """From `value_counts`: per key the total `n` and, per name, the value at the 0-based rank `ranks[name](n)`."""
+    counts = counts.withColumn("_bin", _bin(F.col(VALUE)))
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum(WEIGHT).alias(WEIGHT))
+    per_key = Window.partitionBy(*keys)
+    upto = per_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("n", F.sum(WEIGHT).over(per_key)).withColumn(
+        "_below", F.sum(WEIGHT).over(upto) - F.col(WEIGHT)
     )
-    names = list(ranks)
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), ranks[n](F.col("n")).cast("bigint").alias("rank")) for n in names])
-    wanted = F.filter(
-        wanted, lambda s: (s["rank"] >= F.col("_below")) & (s["rank"] < F.col("_below") + F.col("_m"))
+    wanted = F.array(
+        *[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("bigint").alias("rank")) for name, rank in ranks.items()]
     )
-    hit = bins.withColumn("_want", wanted).select(*keys, "_bin", "n", "_below", "_want").filter(F.size("_want") > 0)
+    here = F.filter(wanted, lambda s: (s["rank"] >= F.col("_below")) & (s["rank"] < F.col("_below") + F.col(WEIGHT)))
+    hit = bins.withColumn("_want", here).filter(F.size("_want") > 0).select(*keys, "_bin", "n", "_below", "_want")
     near = counts.join(hit, [*keys, "_bin"])
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_upto", F.col("_below") + F.sum("_m").over(in_bin))
-    near = near.withColumn("_want", F.explode("_want")).filter(
-        (F.col("_want.rank") < F.col("_upto")) & (F.col("_want.rank") >= F.col("_upto") - F.col("_m"))
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_upto", F.col("_below") + F.sum(WEIGHT).over(in_bin))
+    rank = F.col("_one.rank")
+    near = near.withColumn("_one", F.explode("_want")).filter(
+        (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col(WEIGHT))
     )
     return near.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_want.name") == n, F.col("_x"))).alias(n) for n in names],
+        F.max("n").alias("n"), *[F.max(F.when(F.col("_one.name") == name, F.col(VALUE))).alias(name) for name in ranks]
     )
 
 
-def quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
-    """One row per key with any value: linearly interpolated quantiles, `{name: probability}`, and the count `n`."""
+def _grouped(df: DataFrame, keys):
+    """A keyless call is one group under a constant key."""
+    return (df, list(keys), False) if keys else (df.withColumn("_group", F.lit(0)), ["_group"], True)
+
+
+def order_stats(df: DataFrame, keys, value, ranks: dict) -> DataFrame:
+    """One row per key: `n` non-null values and, per name, the value at the 0-based rank `ranks[name](n)`."""
+    df, keys, whole = _grouped(df, keys)
+    out = _ranked(value_counts(df, keys, value), keys, ranks)
+    return out.drop("_group") if whole else out
+
+
+def _quantiles(counts: DataFrame, keys, probs: dict) -> DataFrame:
     ranks = {}
     for name, p in probs.items():
         ranks[f"_lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
         ranks[f"_hi_{name}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
-    found = order_stats(df, keys, value, ranks)
+    found = _ranked(counts, keys, ranks)
     out = [F.col("n")]
     for name, p in probs.items():
         position = (F.col("n") - 1) * F.lit(float(p))
@@ -64,33 +81,41 @@ def quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
     return found.select(*keys, *out)
 
 
-def median(df: DataFrame, keys, value: str, name: str = "median") -> DataFrame:
+def quantiles(df: DataFrame, keys, value, probs: dict) -> DataFrame:
+    """One row per key with any value: the count `n` and linearly interpolated quantiles `{name: probability}`."""
+    df, keys, whole = _grouped(df, keys)
+    out = _quantiles(value_counts(df, keys, value), keys, probs)
+    return out.drop("_group") if whole else out
+
+
+def median(df: DataFrame, keys, value, name: str = "median") -> DataFrame:
     return quantiles(df, keys, value, {name: 0.5})
 
 
-def median_and_mad(df: DataFrame, keys, value: str) -> DataFrame:
-    """Per key: count, median and median absolute deviation from it."""
-    mid = median(df, keys, value, "_mid").select(*keys, "_mid")
-    joined = df.join(mid, list(keys)) if keys else df.crossJoin(F.broadcast(mid))
-    dev = joined.withColumn("_dev", F.abs(F.col(value) - F.col("_mid")))
-    spread = median(dev, keys, "_dev", "mad")
-    return spread.join(mid, list(keys)) if keys else spread.crossJoin(mid)
+def median_and_mad(df: DataFrame, keys, value) -> DataFrame:
+    """Per key: count `n`, `median`, and `mad`, the median absolute deviation from it.
+
+    The deviations are taken on the distinct-value counts, so the second pass never touches the rows again.
+    """
+    df, keys, whole = _grouped(df, keys)
+    counts = value_counts(df, keys, value)
+    mid = _quantiles(counts, keys, {"median": 0.5})
+    off = counts.join(mid.select(*keys, "median"), keys).withColumn(VALUE, F.abs(F.col(VALUE) - F.col("median")))
+    off = off.groupBy(*keys, VALUE).agg(F.sum(WEIGHT).alias(WEIGHT))
+    out = _quantiles(off, keys, {"mad": 0.5}).join(mid.select(*keys, "median"), keys)
+    return out.drop("_group") if whole else out
 
 
-def robust_std(df: DataFrame, keys, value: str, floor: float | Column, name: str = "scale") -> DataFrame:
-    """1.4826 x MAD, never below `floor`; one value is too few to judge, so the floor stands."""
-    floor = F.lit(floor) if not isinstance(floor, Column) else floor
-    stats = median_and_mad(df, keys, value)
-    return stats.select(
-        *keys,
-        F.when(F.col("n") < 2, floor).otherwise(F.greatest(F.lit(1.4826) * F.col("mad"), floor)).alias(name),
-    )
+def robust_std(df: DataFrame, keys, value, floor, name: str = "scale") -> DataFrame:
+    """1.4826 x MAD, never below `floor`; one value is too few to judge, so the floor stands.
+
+    Keys without any value are absent; readers fill in the floor.
+    """
+    floor = floor if isinstance(floor, Column) else F.lit(float(floor))
+    scale = F.when(F.col("n") < 2, floor).otherwise(F.greatest(F.lit(MAD_TO_STD) * F.col("mad"), floor))
+    return median_and_mad(df, keys, value).select(*keys, scale.alias(name))
 
 
-def robust_std_two_level(df: DataFrame, key: str, groups, value: str, floor: Column, name: str = "scale") -> DataFrame:
-    """`robust_std` per (key, groups) and over all keys (key = NULL) in one plan, like GROUPING SETS."""
-    both = df.withColumn(key, F.explode(F.array(F.col(key), F.lit(None).cast("string"))))
-    # NULL never equals NULL in a join, so the pooled group travels under a reserved name.
-    both = both.withColumn(key, F.coalesce(F.col(key), F.lit("\x00all")))
-    out = robust_std(both, [key, *groups], value, floor, name)
-    return out.withColumn(key, F.when(F.col(key) != "\x00all", F.col(key)))
+def with_pooled(df: DataFrame, key: str) -> DataFrame:
+    """Every row twice: under its own key and under the pooled key, so one grouping answers both levels."""
+    return df.withColumn(key, F.explode(F.array(F.col(key), F.lit(POOLED))))

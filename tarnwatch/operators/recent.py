@@ -5,12 +5,6 @@ from pyspark.sql import functions as F
 
 
 def recent(df: DataFrame, stamp: str, days: int = 0, hours: int = 0) -> DataFrame:
-    """Rows later than the latest `stamp` minus the span. The bound is one scalar, so the filter stays a plain scan."""
-    bound = df.agg((F.max(stamp) - F.make_dt_interval(F.lit(days), F.lit(hours))).alias("_since"))
-    # One row by construction: the broadcast cannot grow with the data.
-    return df.join(F.broadcast(bound), F.col(stamp) > F.col("_since")).drop("_since")
-
-
-def recent_per_key(df: DataFrame, keys, stamp: str, hours: int) -> DataFrame:
-    bound = df.groupBy(*keys).agg((F.max(stamp) - F.make_dt_interval(F.lit(0), F.lit(hours))).alias("_since"))
-    return df.join(bound, list(keys)).filter(F.col(stamp) > F.col("_since")).drop("_since")
+    """Rows later than the latest `stamp` minus the span; the bound is a scalar subquery, the rest a plain scan."""
+    bound = df.select((F.max(stamp) - F.make_dt_interval(F.lit(days), F.lit(hours))).alias("since"))
+    return df.filter(F.col(stamp) > bound.scalar())

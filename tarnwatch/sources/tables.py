@@ -182,3 +182,21 @@ def weather_payload(spark, sf_dir) -> DataFrame:
     return days.select(
         F.to_json(F.struct(hourly.alias("hourly")), {"ignoreNullFields": "false"}).alias("payload")
     )
+
+
+def graded_rows(spark, sf_dir) -> DataFrame:
+    """One row per event with the inputs the grading functions take: oxygen, pH, chances, concentrations."""
+    e = _events(spark, sf_dir)
+    return e.select(
+        F.col("event_id").alias("src_ord"),
+        F.when(_mod("event_id", 29) != 0, _mod("13 * v", 1400) / 100).alias("oxygen"),
+        (5.5 + _mod("7 * v", 400) / 100).alias("ph"),
+        (_mod("3 * v", 101) / 100).alias("p_bod_2"),
+        (_mod("5 * v", 101) / 100).alias("p_bod_3"),
+        (_mod("11 * v", 101) / 100).alias("p_coliform_50"),
+        (_mod("17 * v", 101) / 100).alias("p_coliform_500"),
+        (_mod("19 * v", 101) / 100).alias("p_coliform_5000"),
+        (1 + _mod("v", 900) / 10).alias("chlorophyll"),
+        (_mod("v * v", 9000)).cast("double").alias("coliform"),
+        (_mod("v", 72) - 12).alias("horizon"),
+    )

@@ -4,6 +4,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     intake,
     grading,
     windows,
+    detection,
 )
 from .registry import ORACLE_SQL, QUERIES
 

@@ -68,9 +68,15 @@ def robust_std(spark, sf):
     return spread(values, ["sensor"], "value", robust.per_sensor(K.MIN_SCALE)).withColumn("scale", r9("scale"))
 
 
+def by_sensor(table):
+    """A wide parameter table as (station_id, sensor, scale) rows."""
+    out = table.unpivot(["station_id"], [f"scale_{s}" for s in S], "sensor", "scale")
+    return out.select("station_id", F.regexp_replace("sensor", "^scale_", "").alias("sensor"), r9("scale").alias("scale"))
+
+
 @register("e6_scales_two_level", "SELECT station_id, sensor, round(scale, 9) AS scale FROM work_scales")
 def scales_two_level(spark, sf):
-    return robust.scales(robust.working(dense_grid(spark, sf))).withColumn("scale", r9("scale"))
+    return by_sensor(robust.scales(robust.working(dense_grid(spark, sf))))
 
 
 @register("e6_scale_lookup", f"""
@@ -87,7 +93,7 @@ def scale_lookup(spark, sf):
 
 @register("e7_step_scale", "SELECT station_id, sensor, round(scale, 9) AS scale FROM step_scales")
 def step_scale(spark, sf):
-    return robust.step_scales(dense_grid(spark, sf)).withColumn("scale", r9("scale"))
+    return by_sensor(robust.step_scales(dense_grid(spark, sf)))
 
 
 def _sql_bands(table, keys):

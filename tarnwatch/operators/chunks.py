@@ -58,39 +58,43 @@ def carry_last(
     width: int,
     inclusive: bool = True,
     order=None,
+    running_max: bool = False,
 ) -> DataFrame:
     """Adds, per name, the latest non-null `values[name]` at or before (or strictly before) each row.
 
-    Rows may be irregular; `clock` only assigns chunks and `order` (default `clock`) sorts inside them. The window
-    over chunk summaries sees one row per key and chunk of clock, however many rows the chunk holds.
+    With `running_max` it is the largest value so far instead of the latest. Rows may be irregular; `clock` only
+    assigns chunks and `order` (default `clock`) sorts inside them. The window over chunk summaries sees one row per
+    key and chunk of clock, however many rows the chunk holds.
     """
     order = list(order) if order is not None else [clock]
-    chunked = df.withColumn(CHUNK, F.floor(F.col(clock) / width))
     tmp = {name: f"_v_{name}" for name in values}
-    chunked = chunked.withColumns({tmp[n]: c for n, c in values.items()})
+    chunked = df.withColumns({CHUNK: F.floor(F.col(clock) / width), **{tmp[n]: c for n, c in values.items()}})
     stamp = F.struct(*[F.col(o) for o in order])
-    ends = chunked.groupBy(*keys, CHUNK).agg(
-        *[F.max_by(F.col(t), F.when(F.col(t).isNotNull(), stamp)).alias(f"_e_{n}") for n, t in tmp.items()]
-    )
+
+    def end_of(t):
+        return F.max(t) if running_max else F.max_by(F.col(t), F.when(F.col(t).isNotNull(), stamp))
+
+    def so_far(name, window):
+        return F.max(name).over(window) if running_max else F.last(name, ignorenulls=True).over(window)
+
+    ends = chunked.groupBy(*keys, CHUNK).agg(*[end_of(t).alias(f"_e_{n}") for n, t in tmp.items()])
     over_chunks = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
-        *keys, CHUNK, *[F.last(f"_e_{n}", ignorenulls=True).over(over_chunks).alias(f"_c_{n}") for n in values]
-    )
+    ends = ends.select(*keys, CHUNK, *[so_far(f"_e_{n}", over_chunks).alias(f"_c_{n}") for n in values])
     inside = (
         Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    out = chunked.withColumns({n: F.last(tmp[n], ignorenulls=True).over(inside) for n in values})
+    out = chunked.withColumns({n: so_far(t, inside) for n, t in tmp.items()})
     out = out.join(ends, [*keys, CHUNK], "left")
-    out = out.withColumns({n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in values})
-    return out.drop(CHUNK, *tmp.values(), *[f"_c_{n}" for n in values])
-
+    both = F.greatest if running_max else F.coalesce
+    return out.withColumns({n: both(F.col(n), F.col(f"_c_{n}")) for n in values}).drop(
+        CHUNK, *tmp.values(), *[f"_c_{n}" for n in values]
+    )
 
-def carry_next(df: DataFrame, keys, clock: str, values: dict[str, Column], width: int) -> DataFrame:
-    """The mirror image of `carry_last`: the earliest non-null value at or after each row."""
-    back = df.withColumn("_back", -F.col(clock))
-    return carry_last(back, keys, "_back", values, width).drop("_back")
 
+def carry_next(df: DataFrame, keys, clock: str, values: dict[str, Column], width: int, order=None) -> DataFrame:
+    """The mirror image of `carry_last`: the earliest non-null value at or after each row.
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut a long lineage through the reliable checkpoint folder the session names, when it names one."""
-    return df.checkpoint(eager=False) if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    `order` may name columns that break ties after the (reversed) clock.
+    """
+    back = df.withColumn("_back", -F.col(clock))
+    return carry_last(back, keys, "_back", values, width, order=["_back", *(order or [])]).drop("_back")

@@ -3,8 +3,8 @@
 `percentile` keeps every distinct value of a group in one aggregation buffer, which a fleet-wide group does not
 fit. Here the values are counted per distinct value (map-side combined), counted again per logarithmic bin (a few
 thousand at most per group whatever the data), the bins that hold the wanted ranks are found from those counts, and
-only their values are ranked. The answer is exact; nothing is sampled or sketched. The distinct-value counts feed
-two branches of one plan, and Spark reuses their shuffle.
+only their values are ranked. The answer is exact; nothing is sampled or sketched. The distinct-value counts are
+read by two branches, so they are written once (`lineage.materialise`) rather than computed twice.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from tarnwatch.constants import MAD_TO_STD
 
+from .lineage import materialise
+
 BINS_PER_E = 256
 VALUE, WEIGHT = "_x", "_m"
 POOLED = "\x00all"
 
 
 def value_counts(df: DataFrame, keys, value) -> DataFrame:
-    """Rows per key and distinct non-null value."""
+    """Rows per key and distinct non-null value, as a written table."""
     value = F.col(value) if isinstance(value, str) else value
     src = df.select(*keys, value.cast("double").alias(VALUE)).filter(F.col(VALUE).isNotNull())
-    return src.groupBy(*keys, VALUE).agg(F.count(F.lit(1)).alias(WEIGHT))
+    return materialise(src.groupBy(*keys, VALUE).agg(F.count(F.lit(1)).alias(WEIGHT)), "value_counts")
 
 
 def _bin(value: Column) -> Column:
@@ -99,10 +101,9 @@ def median_and_mad(df: DataFrame, keys, value) -> DataFrame:
     """
     df, keys, whole = _grouped(df, keys)
     counts = value_counts(df, keys, value)
-    mid = _quantiles(counts, keys, {"median": 0.5})
-    off = counts.join(mid.select(*keys, "median"), keys).withColumn(VALUE, F.abs(F.col(VALUE) - F.col("median")))
-    off = off.groupBy(*keys, VALUE).agg(F.sum(WEIGHT).alias(WEIGHT))
-    out = _quantiles(off, keys, {"mad": 0.5}).join(mid.select(*keys, "median"), keys)
+    mid = materialise(_quantiles(counts, keys, {"median": 0.5}).select(*keys, "median"), "medians")
+    off = counts.join(mid, keys).withColumn(VALUE, F.abs(F.col(VALUE) - F.col("median")))
+    out = _quantiles(off, keys, {"mad": 0.5}).join(mid, keys)
     return out.drop("_group") if whole else out
 
 

@@ -9,6 +9,7 @@ from tarnwatch.functions.clock import from_slot
 from tarnwatch.functions.working import in_range, to_working
 
 from .chunks import CHUNK, CORE, SLOT_CHUNK, framed, with_halo
+from .lineage import materialise
 from .order_stats import POOLED, median, quantiles, robust_std, with_pooled
 
 
@@ -40,42 +41,44 @@ def steps(grid: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     )
 
 
+def _widened(table: DataFrame, value: str, sensors, name: str) -> DataFrame:
+    """A (station_id, sensor) parameter table as one written row per station, the pooled key as NULL."""
+    cols = [F.max(F.when(F.col("sensor") == s, F.col(value))).alias(f"scale_{s}") for s in sensors]
+    wide = table.groupBy("station_id").agg(*cols)
+    return materialise(wide.withColumn("station_id", F.when(F.col("station_id") != POOLED, F.col("station_id"))), name)
+
+
 def scales(values: DataFrame, floors=K.MIN_SCALE, sensors=K.LAKE_SENSORS) -> DataFrame:
-    """Robust scale per station and sensor, plus the all-station scale under the key NULL, from one grouping."""
+    """Robust `scale_<sensor>` per station, plus the all-station scales under the key NULL, from one grouping."""
     both = with_pooled(long(values, ["station_id"], sensors), "station_id")
     out = robust_std(both, ["station_id", "sensor"], "value", per_sensor(floors))
-    return out.withColumn("station_id", F.when(F.col("station_id") != POOLED, F.col("station_id")))
+    return _widened(out, "scale", sensors, "scales")
 
 
-def scale_columns(df: DataFrame, scale_table: DataFrame, floors=K.MIN_SCALE, sensors=K.LAKE_SENSORS, prefix="scale_"):
-    """Adds `scale_<sensor>` per row: the station's own scale, else the all-station one, else the floor.
+def scale_columns(df: DataFrame, table: DataFrame, floors=K.MIN_SCALE, sensors=K.LAKE_SENSORS, prefix="scale_") -> DataFrame:
+    """Adds `<prefix><sensor>` per row: the station's own scale, else the all-station one, else the floor.
 
     The lookup is one row per station; Spark broadcasts it while its measured size allows and shuffles it otherwise.
     """
-    wide = scale_table.groupBy("station_id").agg(
-        *[F.max(F.when(F.col("sensor") == s, F.col("scale"))).alias(f"{prefix}{s}") for s in sensors]
-    )
-    pooled = wide.filter(F.col("station_id").isNull())
-    own = wide.filter(F.col("station_id").isNotNull())
-    out = df.join(own, "station_id", "left")
-    return out.withColumns(
+    own = table.filter(F.col("station_id").isNotNull())
+    pooled = table.filter(F.col("station_id").isNull())
+    found = {s: f"_own_{prefix}{s}" for s in sensors}
+    out = df.join(own.select("station_id", *[F.col(f"scale_{s}").alias(n) for s, n in found.items()]), "station_id", "left")
+    out = out.withColumns(
         {
-            f"{prefix}{s}": F.coalesce(
-                F.col(f"{prefix}{s}"), pooled.select(F.max(f"{prefix}{s}")).scalar(), F.lit(float(floors[s]))
-            )
-            for s in sensors
+            f"{prefix}{s}": F.coalesce(F.col(n), pooled.select(f"scale_{s}").scalar(), F.lit(float(floors[s])))
+            for s, n in found.items()
         }
     )
+    return out.drop(*found.values())
 
 
 def step_scales(grid: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
-    """Robust scale of one-step changes per station and sensor; the key NULL holds the median over stations."""
-    own = robust_std(
-        long(steps(working(grid, sensors), sensors), ["station_id"], sensors), ["station_id", "sensor"], "value",
-        per_sensor(K.RESOLUTION),
-    )
-    shared = median(own, ["sensor"], "scale", "scale").select(F.lit(None).cast("string").alias("station_id"), "sensor", "scale")
-    return own.unionByName(shared)
+    """Robust scale of one-step changes per station; the key NULL holds each sensor's median over stations."""
+    changes = long(steps(working(grid, sensors), sensors), ["station_id"], sensors)
+    own = materialise(robust_std(changes, ["station_id", "sensor"], "value", per_sensor(K.RESOLUTION)), "step_scales")
+    shared = median(own, ["sensor"], "scale", "scale").select(F.lit(POOLED).alias("station_id"), "sensor", "scale")
+    return _widened(own.unionByName(shared), "scale", sensors, "step_scales")
 
 
 def bands(values: DataFrame, keys, sensors=K.LAKE_SENSORS, probs=K.BAND_QUANTILES, margin=K.BAND_MARGIN) -> DataFrame:
@@ -99,13 +102,14 @@ def wide_bands(band_table: DataFrame, keys, sensors=K.LAKE_SENSORS) -> DataFrame
 def monthly_bands(values: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     """Seasonal band per station and month."""
     dated = values.withColumn("month", F.month(from_slot(F.col("slot"))))
-    return wide_bands(bands(dated, ["station_id", "month"], sensors), ["station_id", "month"], sensors)
+    keys = ["station_id", "month"]
+    return materialise(wide_bands(bands(dated, keys, sensors), keys, sensors), "bands")
 
 
 def envelope(values: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     """Training envelope per station, plus the all-station one under the key NULL."""
     out = wide_bands(bands(with_pooled(values, "station_id"), ["station_id"], sensors), ["station_id"], sensors)
-    return out.withColumn("station_id", F.when(F.col("station_id") != POOLED, F.col("station_id")))
+    return materialise(out.withColumn("station_id", F.when(F.col("station_id") != POOLED, F.col("station_id"))), "envelope")
 
 
 def with_monthly_bands(grid: DataFrame, table: DataFrame) -> DataFrame:

@@ -262,7 +262,7 @@ def two_sided_z(spark, sf):
 W48 = 1 - math.exp(-1 / 48)
 cte("smooth_inputs", f"""
 SELECT station_id, hour, row_number() OVER (PARTITION BY station_id ORDER BY hour) AS rn, hour % 101 = 0 AS reset,
-  least(greatest(temperature - 22, -4), 4) AS x FROM d_hour_grid""")
+  CASE WHEN temperature IS NOT NULL THEN least(greatest(temperature - 22, -4), 4) END AS x FROM d_hour_grid""")
 cte("smooth_levels", f"""
 SELECT station_id, hour, rn, recursive_step, x FROM (SELECT station_id, hour, rn, x,
   CASE WHEN reset OR x IS NULL THEN 0.0::DOUBLE ELSE least(greatest({W48} * x, -1.2), 1.2) END AS recursive_step FROM smooth_inputs WHERE rn = 1)
@@ -290,8 +290,10 @@ def reset_capped_ewma(spark, sf):
 
 WL, WS = events.slot_weight(K.DRIFT_HOURS), events.slot_weight(K.DRIFT_CONFIRM_HOURS)
 cte("drift_inputs", """
-SELECT z.station_id, z.slot, row_number() OVER (PARTITION BY z.station_id ORDER BY z.slot) AS rn, least(greatest(z.temperature, -4), 4) AS za,
-  least(greatest(z.temperature + 0.5, -4), 4) AS ra, least(greatest(z.dissolved_oxygen, -4), 4) AS zb, least(greatest(z.dissolved_oxygen - 0.25, -4), 4) AS rb,
+SELECT z.station_id, z.slot, row_number() OVER (PARTITION BY z.station_id ORDER BY z.slot) AS rn, CASE WHEN z.temperature IS NOT NULL THEN least(greatest(z.temperature, -4), 4) END AS za,
+  CASE WHEN z.temperature IS NOT NULL THEN least(greatest(z.temperature + 0.5, -4), 4) END AS ra,
+  CASE WHEN z.dissolved_oxygen IS NOT NULL THEN least(greatest(z.dissolved_oxygen, -4), 4) END AS zb,
+  CASE WHEN z.dissolved_oxygen IS NOT NULL THEN least(greatest(z.dissolved_oxygen - 0.25, -4), 4) END AS rb,
   d.candidate AS reset FROM dep_z z JOIN departing d USING (station_id, slot)""")
 
 

@@ -5,6 +5,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     grading,
     windows,
     detection,
+    airquality,
 )
 from .registry import ORACLE_SQL, QUERIES
 

@@ -98,3 +98,17 @@ def carry_next(df: DataFrame, keys, clock: str, values: dict[str, Column], width
     """
     back = df.withColumn("_back", -F.col(clock))
     return carry_last(back, keys, "_back", values, width, order=["_back", *(order or [])]).drop("_back")
+
+
+def row_index(df: DataFrame, keys, clock: str, width: int, name: str = "_row") -> DataFrame:
+    """Adds each row's position within its key by `clock`, for frames that count rows of an irregular table.
+
+    Positions inside a chunk plus the counts of the chunks before it: no window ever spans a whole key.
+    """
+    chunked = df.withColumn(CHUNK, F.floor(F.col(clock) / width))
+    sizes = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(clock))
+    out = chunked.withColumn(name, inside).join(sizes, [*keys, CHUNK])
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop(CHUNK, "_before")

@@ -6,6 +6,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     windows,
     detection,
     airquality,
+    lakes,
 )
 from .registry import ORACLE_SQL, QUERIES
 

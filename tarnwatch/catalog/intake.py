@@ -317,8 +317,8 @@ SELECT hour, g.air_temperature, g.cloud_cover, g.rain_mm FROM
 
 
 def _interpolated(c):
-    return f"""round(coalesce({c}, CASE WHEN hour - p_{c}.h <= 3 AND n_{c}.h IS NOT NULL THEN
-      p_{c}.x + (n_{c}.x - p_{c}.x) * ((hour - p_{c}.h) / (n_{c}.h - p_{c}.h)::DOUBLE) END), 9) + 0.0 AS {c}"""
+    return f"""coalesce({c}, CASE WHEN hour - p_{c}.h <= 3 AND n_{c}.h IS NOT NULL THEN
+      p_{c}.x + (n_{c}.x - p_{c}.x) * ((hour - p_{c}.h) / (n_{c}.h - p_{c}.h)::DOUBLE) END) AS {c}"""
 
 
 cte("filled_weather", "SELECT hour, " + ", ".join(_interpolated(c) for c in K.WEATHER_LAKE) + " FROM (SELECT *, " + ", ".join(
@@ -328,7 +328,8 @@ cte("filled_weather", "SELECT hour, " + ", ".join(_interpolated(c) for c in K.WE
 
 
 @register("d7_weather_interpolation", """
-SELECT make_timestamp(hour * 3600000000) AS "timestamp", air_temperature, cloud_cover, rain_mm FROM filled_weather""")
+SELECT make_timestamp(hour * 3600000000) AS "timestamp", round(air_temperature, 9) + 0.0 AS air_temperature,
+  round(cloud_cover, 9) + 0.0 AS cloud_cover, round(rain_mm, 9) + 0.0 AS rain_mm FROM filled_weather""")
 def weather_interpolation(spark, sf):
     w = grid.weather_grid(tables.weather_gappy(spark, sf), K.WEATHER_LAKE)
     return w.select(from_hour(F.col("hour")).alias("timestamp"), *[r9(c).alias(c) for c in K.WEATHER_LAKE])

@@ -51,7 +51,8 @@ SELECT 'st' || (user_id % 4) AS station_id, ts AS "timestamp", event_id AS src_o
 FROM ev WHERE event_type <> 'signup'""")
 
 cte("dense_base", """
-SELECT *, abs(12 - h) AS tri, CASE WHEN d % 9 = 4 AND h BETWEEN 8 AND 13 THEN 1 ELSE 0 END AS pollution FROM ev""")
+SELECT *, abs(12 - h) AS tri, CASE WHEN d % 9 = 4 AND h BETWEEN 8 AND 13 THEN 1 ELSE 0 END AS pollution,
+  CASE WHEN (h + 18) % 24 <= 10 THEN 35 * ((h + 18) % 24) ELSE (24 - (h + 18) % 24) * (24 - (h + 18) % 24) * 350 // 196 END AS daylight FROM ev""")
 
 cte("dense", """
 SELECT CASE WHEN user_id % 8 < 7 THEN 'st0' ELSE 'st1' END AS station_id, ts AS "timestamp", event_id AS src_ord,
@@ -60,7 +61,7 @@ SELECT CASE WHEN user_id % 8 < 7 THEN 'st0' ELSE 'st1' END AS station_id, ts AS
   (CASE WHEN event_id % 211 = 0 THEN 1500 ELSE 780 - 6 * tri + (7 * v) % 20 + 60 * pollution END) / 100.0::DOUBLE AS ph,
   (500 + v % 60 + 3000 * pollution) / 100.0::DOUBLE AS turbidity,
   CASE WHEN event_type <> 'error'
-       THEN (900 - 25 * tri + (13 * v) % 30 - 450 * pollution - 40 * greatest(d % 10 - 5, 0)) / 100.0::DOUBLE END
+       THEN (550 + daylight + (13 * v) % 30 - 450 * pollution - 40 * greatest(d % 10 - 5, 0)) / 100.0::DOUBLE END
     AS dissolved_oxygen
 FROM dense_base""")
 

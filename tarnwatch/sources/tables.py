@@ -45,6 +45,9 @@ def dense(spark, sf_dir) -> DataFrame:
         .withColumn("h", F.hour("ts"))
         .withColumn("tri", F.abs(12 - F.col("h")))
         .withColumn("pollution", F.when(F.expr("d % 9 = 4 and h between 8 and 13"), 1).otherwise(0))
+        # Hours since 06:00: oxygen rises for ten of them, then falls ever more slowly through the night.
+        .withColumn("s", F.expr("(h + 18) % 24"))
+        .withColumn("daylight", F.expr("case when s <= 10 then 35 * s else (24 - s) * (24 - s) * 350 div 196 end"))
     )
     return e.select(
         F.when(_mod("user_id", 8) < 7, "st0").otherwise("st1").alias("station_id"),
@@ -63,7 +66,7 @@ def dense(spark, sf_dir) -> DataFrame:
         (F.expr("500 + v % 60 + 3000 * pollution") / 100).alias("turbidity"),
         F.when(
             F.expr("event_type <> 'error'"),
-            F.expr("900 - 25 * tri + (13 * v) % 30 - 450 * pollution - 40 * greatest(d % 10 - 5, 0)") / 100,
+            F.expr("550 + daylight + (13 * v) % 30 - 450 * pollution - 40 * greatest(d % 10 - 5, 0)") / 100,
         ).alias("dissolved_oxygen"),
     )
 

@@ -7,6 +7,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     detection,
     airquality,
     lakes,
+    forecasting,
 )
 from .registry import ORACLE_SQL, QUERIES
 

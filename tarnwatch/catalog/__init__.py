@@ -8,6 +8,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     airquality,
     lakes,
     forecasting,
+    evaluation,
 )
 from .registry import ORACLE_SQL, QUERIES
 

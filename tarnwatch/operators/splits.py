@@ -16,3 +16,10 @@ def holdout_with_context(
     cut = df.select((F.max(clock) - holdout).alias("cut"))
     with_context = df.filter(F.col(clock) > cut.select(F.col("cut") - context).scalar())
     return windowed(with_context).filter(F.col(clock) > cut.scalar())
+
+
+def balanced_weights(df: DataFrame, label: str) -> DataFrame:
+    """Per class, rows / (classes x rows of the class): every class weighs the same in training."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.select((F.sum("_n") / F.count(F.lit(1))).alias("t")).scalar()
+    return counts.select(label, (total / F.col("_n")).alias("weight"))

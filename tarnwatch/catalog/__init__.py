@@ -9,6 +9,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     lakes,
     forecasting,
     evaluation,
+    reporting,
 )
 from .registry import ORACLE_SQL, QUERIES
 

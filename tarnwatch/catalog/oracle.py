@@ -91,7 +91,7 @@ FROM ev WHERE event_type = 'signup'""")
 cte("air", """
 SELECT 'air' || (user_id % 2) AS station_id, ts AS "timestamp", event_id AS src_ord,
   (v % 600) / 10.0::DOUBLE AS pm1,
-  (CASE WHEN d % 5 = 3 AND h = 12 THEN 9000 + v % 100 ELSE v % 1500 END) / 10.0::DOUBLE AS pm25,
+  (CASE WHEN d % 5 = 3 AND h = 12 THEN 9000 + v % 100 WHEN d % 10 < 4 THEN 900 + v % 1500 ELSE v % 1500 END) / 10.0::DOUBLE AS pm25,
   (v % 3000) / 10.0::DOUBLE AS pm10, (v % 4000) / 10.0::DOUBLE AS tsp,
   (CASE WHEN d % 6 = 2 AND h BETWEEN 3 AND 15 THEN 50 ELSE (3 * v) % 120 END) / 1000.0::DOUBLE AS o3,
   (v % 101) / 1000.0::DOUBLE AS no2, ((7 * v) % 400) / 100.0::DOUBLE AS co,

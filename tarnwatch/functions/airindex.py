@@ -42,11 +42,12 @@ def sub_index(concentration, pollutant: str) -> Column:
 
 
 def aqi_category(index) -> Column:
+    """Category of the whole-number index. The index is written once, so callers may pass a large expression."""
     whole = F.bround(as_col(index), 0)
-    chain = F.when(whole.isNull(), "insufficient data")
-    for upper, label, _ in K.AQI_CATEGORIES[:-1]:
-        chain = chain.when(whole <= upper, label)
-    return chain.otherwise(K.AQI_CATEGORIES[-1][1])
+    bounds = F.array(*[F.lit(float(upper)) for upper, _, _ in K.AQI_CATEGORIES[:-1]])
+    names = F.array(*[F.lit(label) for _, label, _ in K.AQI_CATEGORIES])
+    passed = F.when(whole.isNotNull(), F.size(F.filter(bounds, lambda b: b < whole)))
+    return F.coalesce(F.get(names, passed), F.lit("insufficient data"))
 
 
 def aqi_advice(category) -> Column:
@@ -54,20 +55,19 @@ def aqi_advice(category) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), as_col(category)), F.lit(""))
 
 
-def naqi_columns(pollutants) -> dict[str, Column]:
-    """Index, category and prominent pollutant from `sub_<p>` columns (unrounded sub-indices)."""
-    order = [p for p in K.BREAKPOINTS if p in pollutants]
-    subs = {p: F.col(f"sub_{p}") for p in order}
-    particle = [subs[p].isNotNull() for p in ("pm25", "pm10") if p in subs]
-    any_particle = particle[0] if len(particle) == 1 else (particle[0] | particle[1]) if particle else F.lit(False)
-    enough = (count_true([s.isNotNull() for s in subs.values()]) >= K.MIN_POLLUTANTS) & any_particle
-    top = F.greatest(*subs.values()) if len(subs) > 1 else next(iter(subs.values()))
-    main = None
-    for p, s in subs.items():
-        main = F.when(s == top, p) if main is None else main.when(s == top, p)
-    index = F.when(enough, top)
-    return {
-        "aqi": F.bround(index, 0),
-        "category": aqi_category(index),
-        "prominent_pollutant": F.when(enough, main).otherwise(F.lit("")),
-    }
+def sub_indices(pollutants) -> Column:
+    """The pollutants' sub-indices as one array, in breakpoint order."""
+    return F.array(*[sub_index(p, p) for p in K.BREAKPOINTS if p in pollutants])
+
+
+def enough_pollutants(pollutants) -> Column:
+    """At least three known pollutants, one of them particulate."""
+    known = [F.col(p).isNotNull() for p in K.BREAKPOINTS if p in pollutants]
+    particle = [F.col(p).isNotNull() for p in ("pm25", "pm10") if p in pollutants]
+    return (count_true(known) >= K.MIN_POLLUTANTS) & (count_true(particle) >= 1)
+
+
+def prominent(subs, pollutants) -> Column:
+    """The pollutant that sets the index; the first in breakpoint order wins a tie."""
+    names = F.array(*[F.lit(p) for p in K.BREAKPOINTS if p in pollutants])
+    return F.get(names, (F.array_position(subs, F.array_max(subs)) - 1).cast("int"))

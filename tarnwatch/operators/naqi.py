@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
-from tarnwatch.functions.airindex import aqi_advice, naqi_columns, sub_index
+from tarnwatch.functions.airindex import aqi_advice, aqi_category, enough_pollutants, prominent, sub_indices
 
 from .chunks import framed
 from .grid import on_calendar
@@ -36,11 +36,22 @@ def averaged(checked: DataFrame) -> DataFrame:
 
 
 def naqi(concentrations: DataFrame) -> DataFrame:
-    """Adds rounded sub-indices `si_<p>`, `aqi`, `category` and `prominent_pollutant`."""
+    """Adds rounded sub-indices `si_<p>`, `aqi`, `category` and `prominent_pollutant`.
+
+    The sub-indices travel as one array, so the index, its category and the pollutant behind it each mention them
+    once: a filter on any of these stays small when the optimizer moves it below the projection.
+    """
     ps = index_pollutants(concentrations)
-    out = concentrations.withColumns({f"sub_{p}": sub_index(p, p) for p in ps})
-    out = out.withColumns({**{f"si_{p}": F.bround(f"sub_{p}", 0) for p in ps}, **naqi_columns(ps)})
-    return out.drop(*[f"sub_{p}" for p in ps])
+    out = concentrations.withColumns({"_subs": sub_indices(ps), "_enough": enough_pollutants(ps)})
+    subs = F.col("_subs")
+    out = out.withColumns(
+        {
+            **{f"si_{p}": F.bround(subs[i], 0) for i, p in enumerate(ps)},
+            "aqi": F.when(F.col("_enough"), F.bround(F.array_max(subs), 0)),
+            "prominent_pollutant": F.when(F.col("_enough"), prominent(subs, ps)).otherwise(""),
+        }
+    )
+    return out.withColumn("category", aqi_category("aqi")).drop("_subs", "_enough")
 
 
 def current_index(index: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def air(spark, sf_dir) -> DataFrame:
         F.col("ts").alias("timestamp"),
         F.col("event_id").alias("src_ord"),
         (_mod("v", 600) / 10).alias("pm1"),
-        (F.expr("case when d % 5 = 3 and h = 12 then 9000 + v % 100 else v % 1500 end") / 10).alias("pm25"),
+        (F.expr("case when d % 5 = 3 and h = 12 then 9000 + v % 100 when d % 10 < 4 then 900 + v % 1500 else v % 1500 end") / 10).alias("pm25"),
         (_mod("v", 3000) / 10).alias("pm10"),
         (_mod("v", 4000) / 10).alias("tsp"),
         (F.expr("case when d % 6 = 2 and h between 3 and 15 then 50 else (3 * v) % 120 end") / 1000).alias("o3"),

@@ -10,6 +10,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     forecasting,
     evaluation,
     reporting,
+    fitted,
 )
 from .registry import ORACLE_SQL, QUERIES
 

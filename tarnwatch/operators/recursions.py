@@ -6,6 +6,7 @@ history of any length therefore spreads over tasks, and the result is the sequen
 """
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +48,8 @@ def clipped_scan(df: DataFrame, keys, clock: str, recursions: dict, width: int)
     def fold(pdf):
         pdf = pdf.sort_values(clock)
         maps = np.concatenate(_composed(pdf[a_cols].to_numpy(), pdf[b_cols].to_numpy(), pdf[k_cols].to_numpy()))
-        out = pdf[[*keys, CHUNK]].iloc[:1].copy()
-        out[map_cols] = maps[None, :]
-        return out
+        where = pdf[[*keys, CHUNK]].iloc[:1].reset_index(drop=True)
+        return pd.concat([where, pd.DataFrame(maps[None, :], columns=map_cols)], axis=1)
 
     # NaN never reaches here: a NULL input is expressed by the caller as a hold (a = 1, b = 0).
     maps = rows.select(*keys, CHUNK, clock, *inputs).groupBy(*keys, CHUNK).applyInPandas(
@@ -64,9 +64,8 @@ def clipped_scan(df: DataFrame, keys, clock: str, recursions: dict, width: int)
         for row in range(len(pdf)):
             out[row] = level
             level = np.clip(A[row] * level + B[row], low[row], high[row])
-        pdf = pdf[[*keys, CHUNK]].copy()
-        pdf[starts] = out
-        return pdf
+        where = pdf[[*keys, CHUNK]].reset_index(drop=True)
+        return pd.concat([where, pd.DataFrame(out, columns=starts)], axis=1)
 
     # One row per chunk of clock: bounded by the calendar, whatever the station's row count.
     begin = maps.groupBy(*keys).applyInPandas(
@@ -83,9 +82,8 @@ def clipped_scan(df: DataFrame, keys, clock: str, recursions: dict, width: int)
         for row in range(len(pdf)):
             level = np.clip(a[row] * level + b[row], -cap[row], cap[row])
             out[row] = level
-        pdf = pdf.drop(columns=list(helpers))
-        pdf[names] = out
-        return pdf
+        kept_columns = pdf.drop(columns=list(helpers)).reset_index(drop=True)
+        return pd.concat([kept_columns, pd.DataFrame(out, columns=names)], axis=1)
 
     schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in names]])
     return joined.groupBy(*keys, CHUNK).applyInPandas(replay, schema)

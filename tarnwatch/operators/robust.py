@@ -1,5 +1,6 @@
 """Robust scales, seasonal bands and long trailing medians of lake sensors."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ def steps(grid: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     )
 
 
-def _widened(table: DataFrame, value: str, sensors, name: str) -> DataFrame:
+def widened(table: DataFrame, value: str, sensors, name: str) -> DataFrame:
     """A (station_id, sensor) parameter table as one written row per station, the pooled key as NULL."""
     cols = [F.max(F.when(F.col("sensor") == s, F.col(value))).alias(f"scale_{s}") for s in sensors]
     wide = table.groupBy("station_id").agg(*cols)
@@ -52,7 +53,7 @@ def scales(values: DataFrame, floors=K.MIN_SCALE, sensors=K.LAKE_SENSORS) -> Dat
     """Robust `scale_<sensor>` per station, plus the all-station scales under the key NULL, from one grouping."""
     both = with_pooled(long(values, ["station_id"], sensors), "station_id")
     out = robust_std(both, ["station_id", "sensor"], "value", per_sensor(floors))
-    return _widened(out, "scale", sensors, "scales")
+    return widened(out, "scale", sensors, "scales")
 
 
 def scale_columns(df: DataFrame, table: DataFrame, floors=K.MIN_SCALE, sensors=K.LAKE_SENSORS, prefix="scale_") -> DataFrame:
@@ -78,7 +79,7 @@ def step_scales(grid: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     changes = long(steps(working(grid, sensors), sensors), ["station_id"], sensors)
     own = materialise(robust_std(changes, ["station_id", "sensor"], "value", per_sensor(K.RESOLUTION)), "step_scales")
     shared = median(own, ["sensor"], "scale", "scale").select(F.lit(POOLED).alias("station_id"), "sensor", "scale")
-    return _widened(own.unionByName(shared), "scale", sensors, "step_scales")
+    return widened(own.unionByName(shared), "scale", sensors, "step_scales")
 
 
 def bands(values: DataFrame, keys, sensors=K.LAKE_SENSORS, probs=K.BAND_QUANTILES, margin=K.BAND_MARGIN) -> DataFrame:
@@ -143,9 +144,9 @@ def trailing_medians(grid: DataFrame, columns, window: int, min_count: int, suff
     )
 
     def slide(pdf):
-        pdf = pdf.sort_values("slot")
-        for c in columns:
-            pdf[f"{c}{suffix}"] = pdf[c].rolling(window, min_periods=min_count).median()
-        return pdf.loc[pdf[CORE].to_numpy(dtype=bool)].drop(columns=[CHUNK, CORE])
+        pdf = pdf.sort_values("slot").reset_index(drop=True)
+        middle = pdf[list(columns)].astype(float).rolling(window, min_periods=min_count).median().add_suffix(suffix)
+        out = pd.concat([pdf.drop(columns=[CHUNK, CORE]), middle], axis=1)
+        return out.loc[pdf[CORE].to_numpy(dtype=bool)]
 
     return chunked.groupBy("station_id", CHUNK).applyInPandas(slide, schema)

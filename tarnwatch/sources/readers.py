@@ -74,6 +74,9 @@ WEATHER_PAYLOAD = T.StructType(
 def weather_from_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Hourly weather rows from a forecast service's JSON of parallel arrays, in this library's names and units."""
     hourly = df.select(F.from_json(payload, WEATHER_PAYLOAD).alias("p")).select("p.hourly.*")
+    # A variable the service did not send is unknown at every hour.
+    unknown = F.transform("time", lambda t: F.lit(None).cast("double"))
+    hourly = hourly.withColumns({v: F.coalesce(F.col(v), unknown) for v in K.WEATHER_VARIABLES})
     rows = hourly.select(F.explode(F.arrays_zip("time", *K.WEATHER_VARIABLES)).alias("r"))
     return rows.select(
         parse_time("r.time").alias("timestamp"),

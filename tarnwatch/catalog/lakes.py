@@ -6,6 +6,7 @@ from tarnwatch import constants as K
 from tarnwatch.functions.clock import from_day, from_hour
 from tarnwatch.functions.working import r9
 from tarnwatch.operators import grid, metabolism, soft_features
+from tarnwatch.operators.lineage import materialise
 from tarnwatch.sources import tables
 
 from .intake import saturation
@@ -121,7 +122,7 @@ BASE = [*[f"{k}_{s}" for s in S for k in ("now", "mean", "min", "max")], "mean_d
 
 def features(spark, sf):
     samples = tables.lab(spark, sf).select("src_ord", "station_id", "timestamp")
-    return soft_features.sample_features(samples, hourly(spark, sf), weather(spark, sf))
+    return soft_features.sample_features(samples, materialise(hourly(spark, sf), "hourly"), weather(spark, sf))
 
 
 def _seven(cols):

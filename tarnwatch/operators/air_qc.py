@@ -9,6 +9,7 @@ from tarnwatch.functions.clock import hour_no
 
 from .chunks import HOUR_CHUNK, framed, row_index
 from .lake_qc import run_of
+from .lineage import materialise
 
 POLLUTANTS = [*K.PARTICLES, *K.GASES]
 SPIKE_REACH = 12  # rows on each side of a 25-row centred frame
@@ -110,7 +111,8 @@ def check_air(hourly: DataFrame, weather: DataFrame | None = None) -> DataFrame:
     """
     ps = measured(hourly)
     gases = [p for p in ps if p in K.DETECTION_LIMIT]
-    out = hourly.withColumns({f"_neg_{p}": too_negative(p, p) for p in gases})
+    # Numbering the rows reads the hourly table twice; it is a small fraction of the raw readings.
+    out = materialise(hourly, "air_hours").withColumns({f"_neg_{p}": too_negative(p, p) for p in gases})
     out = out.withColumns({p: detection_floor(p, p) for p in gases})
     out = shape_flags(out, {p: p for p in ps})
     flags = {}

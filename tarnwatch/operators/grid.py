@@ -7,6 +7,7 @@ from tarnwatch import constants as K
 from tarnwatch.functions.clock import from_hour, from_slot, hour_no, nearest_slot
 
 from .chunks import HOUR_CHUNK, carry_last, carry_next
+from .lineage import materialise
 
 
 def first_per_slot(readings: DataFrame, order: str = "src_ord", sensors=K.LAKE_SENSORS) -> DataFrame:
@@ -25,14 +26,25 @@ def calendar(df: DataFrame, clock: str, beyond: int = 0, keys=("station_id",)) -
     return bounds.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(clock))
 
 
-def on_calendar(df: DataFrame, clock: str, beyond: int = 0, keys=("station_id",)) -> DataFrame:
-    """The table with its gaps as rows of NULLs."""
-    return calendar(df, clock, beyond, keys).join(df, [*keys, clock], "left")
+def on_calendar(df: DataFrame, clock: str, beyond: int = 0, keys=("station_id",), span_of: DataFrame | None = None) -> DataFrame:
+    """The table with its gaps as rows of NULLs.
+
+    `span_of` names a cheaper table with the same keys and clock to take each key's span from, so that `df` itself
+    is computed once.
+    """
+    return calendar(df if span_of is None else span_of, clock, beyond, keys).join(df, [*keys, clock], "left")
+
+
+def _slots_of(readings: DataFrame) -> DataFrame:
+    return readings.select("station_id", nearest_slot(F.col("timestamp")).alias("slot")).filter("slot is not null")
 
 
 def slot_grid(readings: DataFrame, order: str = "src_ord") -> DataFrame:
-    """station_id, slot and the four sensors on a gap-free 10-minute grid."""
-    return on_calendar(first_per_slot(readings, order), "slot")
+    """station_id, slot and the four sensors on a gap-free 10-minute grid.
+
+    Station spans come straight from the scan (two columns, one tiny aggregate), not from the deduplicated rows.
+    """
+    return on_calendar(first_per_slot(readings, order), "slot", span_of=_slots_of(readings))
 
 
 def hourly_values(slots: DataFrame, min_valid: int = K.MIN_PER_HOUR, sensors=K.LAKE_SENSORS) -> DataFrame:
@@ -43,7 +55,8 @@ def hourly_values(slots: DataFrame, min_valid: int = K.MIN_PER_HOUR, sensors=K.L
 
 def hourly_grid(readings: DataFrame, min_valid: int = K.MIN_PER_HOUR, beyond: int = 0, order: str = "src_ord") -> DataFrame:
     """station_id, hour and sensor means on a gap-free hourly grid."""
-    return on_calendar(hourly_values(first_per_slot(readings, order), min_valid), "hour", beyond)
+    hours = _slots_of(readings).select("station_id", F.floor(F.col("slot") / 6).alias("hour"))
+    return on_calendar(hourly_values(first_per_slot(readings, order), min_valid), "hour", beyond, span_of=hours)
 
 
 def with_timestamp(df: DataFrame) -> DataFrame:
@@ -85,7 +98,8 @@ def weather_grid(weather: DataFrame, columns, fill_hours: int = 3, arrival: Colu
     hours = weather.withColumn("hour", hour_no(F.col("timestamp"))).filter(F.col("hour").isNotNull())
     hours = hours.withColumn("_ord", arrival if arrival is not None else F.col("timestamp"))
     hours = hours.groupBy("hour").agg(*[F.min_by(c, "_ord").alias(c) for c in columns])
-    grid = on_calendar(hours.withColumn("_all", F.lit(0)), "hour", keys=("_all",))
+    # One row per hour of the calendar, read by two carries: written once.
+    grid = materialise(on_calendar(hours.withColumn("_all", F.lit(0)), "hour", keys=("_all",)), "weather_hours")
     points = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("hour").alias("h"), F.col(c).alias("v"))) for c in columns}
     grid = carry_last(grid, ["_all"], "hour", {f"_p_{c}": p for c, p in points.items()}, HOUR_CHUNK)
     grid = carry_next(grid, ["_all"], "hour", {f"_n_{c}": p for c, p in points.items()}, HOUR_CHUNK)

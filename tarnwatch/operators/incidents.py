@@ -8,6 +8,7 @@ from tarnwatch.functions.clock import SLOT_US, from_slot, micros
 
 from .chunks import SLOT_CHUNK, carry_last, framed
 from .joins import HOUR_US, as_of, overlapped
+from .lineage import materialise
 from .order_stats import median
 
 GAP_SLOTS = K.INCIDENT_GAP_MINUTES // K.SLOT_MINUTES
@@ -28,6 +29,8 @@ def alarm_incidents(flagged: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
         return {"_open": F.when(recent.isNull(), F.col("slot"))}
 
     opened = framed(alarms, ["station_id"], "slot", [opening], before=GAP_SLOTS, width=SLOT_CHUNK)
+    # Only alarm rows are left; the carry reads them twice.
+    opened = materialise(opened, "alarms")
     opened = carry_last(opened, ["station_id"], "slot", {"_incident": F.col("_open")}, SLOT_CHUNK)
     grouped = opened.groupBy("station_id", "_incident").agg(
         F.min("slot").alias("start_slot"),
@@ -48,7 +51,7 @@ def alarm_incidents(flagged: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
 
 def explained_incidents(incidents: DataFrame, episodes: DataFrame) -> DataFrame:
     """Incidents with `explained`: an episode of the station overlaps them, with grace before and after."""
-    spans = incidents.withColumns({"_s": micros(F.col("start")), "_e": micros(F.col("end"))})
+    spans = materialise(incidents, "incidents").withColumns({"_s": micros(F.col("start")), "_e": micros(F.col("end"))})
     known = episodes.select("station_id", micros(F.col("start")).alias("_s"), micros(F.col("end")).alias("_e"))
     out = overlapped(spans, known, ["station_id"], "_s", "_e", K.GRACE_HOURS * HOUR_US, K.AFTERMATH_HOURS * HOUR_US)
     return out.withColumnRenamed("overlapped", "explained").drop("_s", "_e")
@@ -68,7 +71,7 @@ def episode_scores(flagged: DataFrame, episodes: DataFrame, sensors=K.LAKE_SENSO
         **{f"sensor_{s}": c for s, c in faults.items()},
     }
     facts = flagged.select("station_id", "slot", *[F.when(c, F.col("slot")).alias(n) for n, c in hits.items()])
-    facts = facts.filter(F.coalesce(*[F.col(n) for n in hits]).isNotNull())
+    facts = materialise(facts.filter(F.coalesce(*[F.col(n) for n in hits]).isNotNull()), "hits")
     first = F.ceil(micros(F.col("start")) / SLOT_US)
     asked = episodes.withColumns({"slot": first, "_last": F.floor(micros(F.col("end")) / SLOT_US)})
     out = as_of(asked, facts, ["station_id"], "slot", {n: F.col(n) for n in hits}, SLOT_CHUNK, forward=True)

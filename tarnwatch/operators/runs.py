@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .chunks import SLOT_CHUNK, carry_last, framed
 from .lake_qc import run_of
+from .lineage import materialise
 
 
 def unchanged_run(grid: DataFrame, column: str, resolution: float, name: str = "repeats") -> DataFrame:
@@ -14,7 +15,7 @@ def unchanged_run(grid: DataFrame, column: str, resolution: float, name: str = "
     """
     same = F.coalesce(F.abs(F.col(column) - F.col("_prev")) <= resolution, F.lit(False))
     out = framed(grid, ["station_id"], "slot", [lambda w: {"_prev": F.lag(column).over(w)}], before=1, width=SLOT_CHUNK)
-    out = out.withColumn("_same", same)
+    out = materialise(out.withColumn("_same", same), "runs")
     out = carry_last(out, ["station_id"], "slot", {"_break": F.when(~F.col("_same"), F.col("slot"))}, SLOT_CHUNK)
     return out.withColumn(name, F.col("slot") - F.col("_break") + 1).drop("_prev", "_same", "_break")
 

@@ -8,6 +8,7 @@ from tarnwatch.functions.airindex import aqi_category
 from tarnwatch.functions.timing import horizon_bucket, lead_group
 from tarnwatch.functions.water import class_rank
 
+from .lineage import materialise
 from .order_stats import quantiles
 
 
@@ -134,6 +135,7 @@ def air_daily_scores(forecasts: DataFrame, targets=("pm25", "pm10"), poor: float
 def accuracy(df: DataFrame, keys, actual: str = "actual", estimate: str = "estimate") -> DataFrame:
     """Per key: MAE, RMSE, median percentage error, log RMSE, log R2 and median ratio of a positive estimate."""
     rows = df.filter(F.col(actual).isNotNull() & F.col(estimate).isNotNull())
+    rows = materialise(rows.select(*keys, actual, estimate), "scored")
     a, e = F.col(actual), F.col(estimate)
     log_error, log_actual = F.ln(e) - F.ln(a), F.ln(a)
     sums = rows.groupBy(*keys).agg(

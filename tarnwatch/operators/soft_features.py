@@ -15,6 +15,7 @@ from tarnwatch.functions.working import all_present, at_least, to_working
 from .chunks import framed
 from .grid import calendar, on_calendar
 from .joins import as_of
+from .lineage import materialise
 from .metabolism import daily_metabolism
 
 NIGHT_FEATURES = ["respiration", "reaeration", "night_temperature"]
@@ -79,7 +80,9 @@ def sample_features(samples: DataFrame, hourly: DataFrame, weather: DataFrame |
     """Samples (`station_id`, `timestamp`, anything else) with their features; too sparse a window drops the sample."""
     asked = samples.withColumn("hour", hour_no(F.col("timestamp")) - 1)
     out = asked.join(window_features(hourly), ["station_id", "hour"]).filter(F.col("complete_hours") >= NEED_HOURS)
-    table = daily_metabolism(hourly)
+    # Both as-of lookups read their two sides twice; these are sample-sized and one row per station and day.
+    out = materialise(out, "samples")
+    table = materialise(daily_metabolism(hourly), "metabolism")
     # A night counts once it has ended, a day once it is over.
     out = out.withColumns(
         {

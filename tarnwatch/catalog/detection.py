@@ -441,3 +441,51 @@ def _sql_fault(s):
 def apply_episodes(spark, sf):
     out = faults.apply_episodes(grid.slot_grid(tables.readings(spark, sf)), fault_log(spark, sf))
     return stamped(out, ["kind", *[r9(s).alias(s) for s in S]])
+
+
+# ---------------------------------------------------------------------------- detector inputs
+
+cte("scaled_steps", "SELECT c.station_id, c.slot, " + ", ".join(
+    f"(c.{s} - lag(c.{s}) OVER (PARTITION BY c.station_id ORDER BY c.slot)) / (SELECT scale FROM own_step_scales x WHERE x.sensor = '{s}' AND x.station_id = c.station_id) AS {s}" for s in S) + " FROM clean c")
+W6 = "OVER (PARTITION BY station_id ORDER BY slot ROWS 5 PRECEDING)"
+
+
+@register("f27_wobble", f"""
+SELECT station_id, {T0}, {', '.join(f"round(CASE WHEN count({s}) {W6} >= 2 THEN stddev_samp({s}) {W6} END, 7) AS {s}" for s in S)} FROM scaled_steps""")
+def wobble(spark, sf):
+    from tarnwatch.operators.chunks import framed
+
+    g = dense_grid(spark, sf)
+    scales = robust.step_scales(g)
+    flagged = lake_qc.rule_tests(robust.scale_columns(g, scales, K.RESOLUTION))
+    clean = lake_qc.clean_values(flagged, K.SHAPE_FAULTS)
+
+    def step(w):
+        return {f"_st_{s}": (F.col(s) - F.lag(s).over(w)) / F.col(f"scale_{s}") for s in S}
+
+    def spread(w):
+        six = w.rowsBetween(-5, 0)
+        return {f"_wb_{s}": F.when(F.count(f"_st_{s}").over(six) >= 2, F.stddev_samp(f"_st_{s}").over(six)) for s in S}
+
+    out = framed(clean, ["station_id"], "slot", [step, spread], before=6, width=SLOT_CHUNK)
+    return stamped(out, [F.round(f"_wb_{s}", 7).alias(s) for s in S])
+
+
+F288 = "OVER (PARTITION BY station_id ORDER BY slot ROWS 287 PRECEDING)"
+
+
+@register("h12_design_matrix", f"""
+SELECT c.station_id, make_timestamp(c.slot * 600000000) AS "timestamp", round(c.anchor, 9) AS temperature_anchor, round(sin(2 * pi() * (c.slot % 144) / 144), 9) + 0.0 AS hour_sin,
+  round(cos(2 * pi() * (c.slot % 144) / 144), 9) + 0.0 AS hour_cos, round(coalesce(m.rain_36h, 0), 8) + 0.0 AS rain_36h, round(m.air_96h, 8) AS air_96h, round(m.cloud_3h, 8) AS cloud_3h
+FROM (SELECT *, CASE WHEN count(temperature) {F288} >= 144 THEN median(temperature) {F288} END AS anchor FROM clean) c LEFT JOIN weather_memory_rows m ON m.hour = c.slot // 6""")
+def design_matrix(spark, sf):
+    from tarnwatch.models.detector import LakeDetector
+
+    detector = LakeDetector()
+    w = tables.weather_gappy(spark, sf)
+    detector._remember(w)
+    clean = clean_grid(spark, sf)
+    anchored = robust.trailing_medians(clean, ["temperature"], K.ANCHOR_SLOTS, K.SLOTS_PER_DAY, "_anchor")
+    out = detector.design(anchored.withColumnRenamed("temperature_anchor", "anchor"), w)
+    cols = ["rain_36h", "air_96h", "cloud_3h"]
+    return stamped(out, [r9("anchor").alias("temperature_anchor"), r9("hour_sin").alias("hour_sin"), r9("hour_cos").alias("hour_cos"), *[(F.round(c, 8) + 0.0).alias(c) for c in cols]])

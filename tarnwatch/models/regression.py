@@ -51,7 +51,7 @@ class TrendPlusTrees:
                 VectorAssembler(inputCols=["_std", "_station"], outputCol="_linear", handleInvalid="keep"),
                 # Spark's penalty is per row; ridge is the total one.
                 LinearRegression(featuresCol="_linear", labelCol=self.target, predictionCol="_trend", regParam=self.ridge / n,
-                                 elasticNetParam=0.0, standardization=False),
+                                 elasticNetParam=0.0, standardization=False, solver="l-bfgs"),
             ]
         ).fit(rows)
         rest = trend.transform(rows).withColumn("_rest", F.col(self.target) - F.col("_trend"))

@@ -15,6 +15,7 @@ from tarnwatch.constants import MAD_TO_STD
 from .lineage import materialise
 
 BINS_PER_E = 256
+UNIT = 0.01
 VALUE, WEIGHT = "_x", "_m"
 POOLED = "\x00all"
 
@@ -28,7 +29,7 @@ def value_counts(df: DataFrame, keys, value) -> DataFrame:
 
 def _bin(value: Column) -> Column:
     """Monotone in the value: about 0.4% wide, linear near zero, and bounded for any double."""
-    return F.floor(F.asinh(value / 0.01) * BINS_PER_E)
+    return F.floor(F.signum(value) * F.log1p(F.abs(value) / UNIT) * BINS_PER_E)
 
 
 def _ranked(counts: DataFrame, keys, ranks: dict) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
-from tarnwatch.functions.clock import from_hour, from_slot, hour_no, micros
+from tarnwatch.functions.clock import from_hour, micros
 from tarnwatch.functions.working import r9
 from tarnwatch.operators import events, faults, grid, incidents, joins, lake_qc, robust, runs, verdicts
 from tarnwatch.operators.chunks import HOUR_CHUNK, SLOT_CHUNK

@@ -16,8 +16,7 @@ from tarnwatch.operators.lab import clean_lab, lab_report, with_previous
 from tarnwatch.operators.lineage import materialise
 from tarnwatch.sources import readers, tables
 
-from . import airquality
-from .forecasting import cols8, hours, sql_cols
+from .forecasting import air_levels, cols8, hours
 from .grading import _TROPHIC, _WHO, _WQI_CLASS, sql_category, _sql_sub_index, wqi_rows
 from .oracle import cte
 from .registry import register
@@ -279,12 +278,6 @@ SELECT b.station_id, b.hour, h.h AS horizon, b.hour + h.h AS target_hour, '{t}'
 FROM air_fc_base b CROSS JOIN (SELECT unnest([1, 6, 12, 24, 36, 48]) AS h) h LEFT JOIN air_logs g ON g.station_id = b.station_id AND g.hour = b.hour + h.h""" for t in ("pm25", "pm10")))
 
 
-def air_levels(spark, sf):
-    from tarnwatch.operators import air_features
-
-    return air_features.log_levels(airquality.checked(spark, sf))
-
-
 def air_forecasts(spark, sf):
     from tarnwatch.operators import air_features
 

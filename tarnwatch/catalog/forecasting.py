@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
-from tarnwatch.functions.clock import day_of_hour, from_day, from_hour, hour_no
-from tarnwatch.functions.working import r9, to_working
-from tarnwatch.operators import air_features, forecast_features as ff, grid
+from tarnwatch.functions.clock import from_day, from_hour, hour_no
+from tarnwatch.operators import air_features
+from tarnwatch.operators import forecast_features as ff
 from tarnwatch.operators.chunks import framed
+from tarnwatch.operators.lineage import materialise
 from tarnwatch.sources import tables
 
 from . import airquality
@@ -24,7 +25,8 @@ def _rows(n):
 
 
 def hours(spark, sf):
-    return ff.working_hours(hourly(spark, sf))
+    """The hourly clock as the daily run keeps it: a written table that several operators read."""
+    return materialise(ff.working_hours(hourly(spark, sf)), "hours")
 
 
 # The saturation polynomial cancels large terms, so engines agree on fewer digits there.
@@ -285,7 +287,7 @@ SELECT b.station_id, b.hour, b.horizon, CASE WHEN dayofweek(make_timestamp(b.tar
 
 
 def air_levels(spark, sf):
-    return air_features.log_levels(airquality.checked(spark, sf))
+    return materialise(air_features.log_levels(airquality.checked(spark, sf)), "levels")
 
 
 def air_weather(spark, sf):

@@ -9,7 +9,6 @@ from tarnwatch.functions.working import r9
 from tarnwatch.operators.order_stats import median
 from tarnwatch.sources import tables
 
-from .intake import saturation
 from .oracle import cte
 from .registry import register
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
-from tarnwatch.functions.clock import day_no, from_hour, from_slot, hour_no, micros, nearest_slot
+from tarnwatch.functions.clock import from_hour, from_slot, nearest_slot
 from tarnwatch.functions.parse import local_time, parse_numeric, parse_time
 from tarnwatch.functions.water import do_percent_to_mgl, mask_out_of_range
 from tarnwatch.functions.working import r9, to_working, from_working
@@ -11,7 +11,7 @@ from tarnwatch.operators import grid
 from tarnwatch.sources import readers, tables, vendor
 from tarnwatch.sources.contracts import require_columns
 
-from .oracle import cte
+from .oracle import CTES, cte
 from .registry import register
 
 S = K.LAKE_SENSORS
@@ -71,8 +71,6 @@ SELECT c.station_id, c.hour, f.temperature, f.ph, f.turbidity, f.dissolved_oxyge
 FROM hour_calendar c LEFT JOIN hour_values f USING (station_id, hour)""")
 # The same chain over the dense, skewed readings.
 for name in ("slot_readings", "slot_first", "slot_calendar", "slot_grid", "hour_values", "hour_calendar", "hour_grid"):
-    from .oracle import CTES
-
     sql = CTES[name]
     for inner in ("slot_readings", "slot_first", "slot_calendar", "hour_values", "hour_calendar"):
         sql = sql.replace(inner, f"d_{inner}")

@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
-from tarnwatch.functions.clock import from_hour, from_slot
 from tarnwatch.functions.working import all_present, r9
-from tarnwatch.operators import alerts, grading, grid, incidents, naqi, readiness, air_qc
+from tarnwatch.operators import air_qc, alerts, grading, incidents, naqi, readiness
 from tarnwatch.operators.lineage import materialise
 from tarnwatch.sources import tables, vendor
 

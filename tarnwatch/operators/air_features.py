@@ -11,6 +11,7 @@ from tarnwatch.functions.working import at_least
 from .chunks import framed
 from .forecast_features import same_hour_offset
 from .grid import on_calendar
+from .lineage import materialise
 
 TARGETS = ["pm25", "pm10"]
 WEATHER = ["wind_speed", "boundary_layer_height", "relative_humidity", "air_temperature", "rain_mm"]
@@ -89,7 +90,7 @@ def hourly_rows(levels: DataFrame, origins: DataFrame, horizons, weather: DataFr
     out = rows.select("station_id", "hour", "horizon", "target_hour", *[c.alias(n) for n, c in feats.items()])
     if weather is None:
         return out
-    w = hourly_weather(weather)
+    w = materialise(hourly_weather(weather), "air_weather")
     names = [c for c in w.columns if c != "hour"]
     here = w.select("hour", *[F.col(c).alias(f"now_{c}") for c in names])
     there = w.select(F.col("hour").alias("target_hour"), *[F.col(c).alias(f"target_{c}") for c in names])
@@ -113,7 +114,10 @@ def day_weather(weather: DataFrame, columns=WEATHER) -> DataFrame:
 
 
 def daily_rows(levels: DataFrame, weather: DataFrame | None = None, targets=TARGETS, days_ahead=(1, 2)) -> DataFrame:
-    """One row per 18:00 issue and day ahead: the last day's and week's levels, target-day weather, and the actual mean."""
+    """One row per 18:00 issue and day ahead: the last day's and week's levels, target-day weather, and the actual mean.
+
+    `levels` is read three times (means, spans, actuals), so pass a written table.
+    """
     means = level_means(levels, targets)
     first = levels.groupBy("station_id").agg(F.min("hour").alias("_start"))
     issued = means.filter(hour_of_day(F.col("hour")) == K.ISSUE_HOUR).join(first, "station_id")

@@ -15,6 +15,7 @@ from tarnwatch.functions.working import all_present, clip, to_working
 
 from .chunks import framed
 from .grid import on_calendar
+from .lineage import materialise
 
 BEHIND, AHEAD = 23, K.MAX_HORIZON
 
@@ -94,7 +95,8 @@ def hourly_rows(
 ) -> DataFrame:
     """One row per origin and horizon: features, `actual_<s>` and `target_<s>` (change from the origin), working scale.
 
-    `hours` is the gap-free working-scale clock, `origins` has station_id and hour.
+    `hours` is the gap-free working-scale clock (best a written table: origins are derived from it too), `origins`
+    has station_id and hour.
     """
     rows = around(hours, sensors).join(origins, ["station_id", "hour"])
     rows = rows.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons])))
@@ -124,7 +126,8 @@ def hourly_rows(
     )
     if weather is None:
         return out.withColumnRenamed("_at", "target_hour")
-    w = weather_windows(weather)
+    # One row per hour of weather, looked up at the origin and at the target.
+    w = materialise(weather_windows(weather), "weather_windows")
     here = w.select("hour", F.col("rain_24h").alias("rain_past_24h"), F.col("cloud_12h").alias("cloud_past_12h"), "_air_next")
     there = w.select(
         F.col("hour").alias("_at"), F.col("cloud_12h").alias("cloud_before_target_12h"),

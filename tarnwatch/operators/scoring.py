@@ -113,7 +113,7 @@ def air_hourly_scores(forecasts: DataFrame, buckets=K.AIR_BUCKETS) -> DataFrame:
 
 def air_daily_scores(forecasts: DataFrame, targets=("pm25", "pm10"), poor: float = K.POOR_INDEX, alert_at: float = K.ALERT_PROBABILITY):
     """Per day ahead: accuracy per pollutant, category agreement, and how Poor days were called."""
-    known = forecasts.filter(F.col("actual_pm_index").isNotNull())
+    known = materialise(forecasts.filter(F.col("actual_pm_index").isNotNull()), "verified_days")
     per_day = known.groupBy("days_ahead").agg(
         *[
             c

@@ -14,7 +14,6 @@ from tarnwatch.models.forest import IsolationForest
 from tarnwatch.operators import calibration, grid, scoring
 from tarnwatch.plans import daily, training
 from tarnwatch.sources import vendor
-from tarnwatch.streaming import intake  # noqa: F401
 
 T0 = dt(2024, 1, 1)
 DAYS = 30

@@ -81,7 +81,7 @@ def test_missing_columns_are_named(spark):
 def test_vendor_export(spark):
     mapping = vendor.VendorMapping(
         columns={"station_id": "Device", "timestamp": "Time (UTC)", "temperature": "T", "ph": "pH", "turbidity": "Turb", "dissolved_oxygen": "DO"},
-        stations={"b1": "pichola"}, oxygen_unit="percent", turbidity_unit="percent", turbidity_calibration=(2.0, -1.0),
+        stations={"b1": "north"}, oxygen_unit="percent", turbidity_unit="percent", turbidity_calibration=(2.0, -1.0),
         limits={"ph": (4.0, 9.0), "dissolved_oxygen": (None, 100.0)}, timezone="Asia/Kolkata",
     )
     rows = [
@@ -90,13 +90,13 @@ def test_vendor_export(spark):
     ]
     raw = spark.createDataFrame(rows, "Device string, `Time (UTC)` string, T string, pH string, Turb string, DO string")
     out = vendor.normalise(raw, mapping).orderBy("timestamp").collect()
-    assert [r["station_id"] for r in out] == ["pichola", "pichola", "b2"]
+    assert [r["station_id"] for r in out] == ["north", "north", "b2"]
     assert out[0]["timestamp"] == dt(2024, 1, 1, 5, 30)
     assert out[0]["ph"] is None and out[0]["dissolved_oxygen"] is None and out[0]["turbidity"] == 9.0
     assert out[1]["dissolved_oxygen"] == pytest.approx(0.5 * 9.09 * 0.93, abs=0.01) and out[1]["turbidity"] == 0.0
     assert out[2]["ph"] is None and out[2]["dissolved_oxygen"] == 0.0
     counts = {(r["station_id"], r["sensor"]): r["readings"] for r in vendor.censor_counts(vendor.censored(vendor.renamed(raw, mapping), mapping)).collect()}
-    assert counts == {("pichola", "ph"): 1, ("pichola", "dissolved_oxygen"): 1, ("b2", "ph"): 2}
+    assert counts == {("north", "ph"): 1, ("north", "dissolved_oxygen"): 1, ("b2", "ph"): 2}
 
 
 def test_csv_folder_reads_in_arrival_order(spark, tmp_path):

@@ -46,7 +46,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
 
 
-def bucket_bits(n_bytes: int, per_bucket: int = 12 << 20, least: int = 5) -> int:
+def bucket_bits(n_bytes: int, per_bucket: int = 12 << 20, least: int = 7) -> int:
     """Bits of the hash that name a bucket, so that a bucket holds the words of about `per_bucket` bytes of text."""
     return max(least, math.ceil(math.log2(max(1, n_bytes / per_bucket))))
 

@@ -2,11 +2,10 @@
 
 Ratings are grades 0 < 1 < ... < K. One weight vector over hashed words is shared by all cuts, and cut k has its own
 threshold: P(grade >= k) = logistic(w.x - theta_k). All cuts are fitted together as one logistic regression in which
-every rated text appears once per cut, with the cuts as K extra inputs (the all-threshold form of the model): with
+every rated text appears once per cut, with the cut as one more input (the all-threshold form of the model): with
 shared weights and nested answers the fitted thresholds come out in order, and are sorted before use in case of a tie.
 
-Inputs are the distinct lower-cased words of a text, hashed to `FEATURES` cells and weighted by their rarity among the
-fitted texts; words of one fitted text only weigh nothing.
+Inputs are the distinct lower-cased words of a text and the cut's own sign, hashed to `FEATURES` cells.
 
 The fit uses about `SAMPLE` rated texts at most, chosen by a hash of doc_id (a documented bound; whole texts); every
 document is scored. The model is a weight vector and K thresholds: its size does not depend on the data.
@@ -19,7 +18,7 @@ ratings, or ratings of one grade only, each probability is the share of ratings
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, VectorAssembler
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,21 +36,23 @@ class OrdinalModel:
     """Weights and thresholds: P(grade >= k) = logistic(margin + offsets[k-1]); without a fit only the shares."""
 
     top: int
-    idf: IDFModel | None
     weights: LogisticRegressionModel | None
     offsets: list[float]  # of each cut against the first, falling
     shares: list[float]
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=FEATURES, binary=True)
-    return tf.transform(docs.withColumn("_w", words_column(F.col("text"), lower=True))).drop("_w")
+def _sign(cut) -> Column:
+    """The input that stands for a cut: no word, for it holds a blank."""
+    return F.concat(F.lit("at least "), cut.cast("string"))
 
 
-def _with_cuts(df: DataFrame, top: int, cut: Column) -> DataFrame:
-    names = [f"_c{k}" for k in range(1, top + 1)]
-    df = df.withColumns({n: F.when(cut == k, 1.0).otherwise(0.0) for k, n in enumerate(names, 1)})
-    return VectorAssembler(inputCols=["_x", *names], outputCol="_in").transform(df).drop(*names)
+def _hashing() -> HashingTF:
+    return HashingTF(inputCol="_w", outputCol="_x", numFeatures=FEATURES, binary=True)
+
+
+def _inputs(docs: DataFrame, cut) -> DataFrame:
+    words = F.concat(F.array_distinct(words_column(F.col("text"), lower=True)), F.array(_sign(cut)))
+    return _hashing().transform(docs.withColumn("_w", words)).drop("_w")
 
 
 def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE) -> OrdinalModel:
@@ -65,15 +66,13 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE) ->
     rated = materialise(rated, "ratings")
     shares = [r or 0.0 for r in rated.agg(*[F.avg((F.col("grade") >= k).cast("double")) for k in range(1, top + 1)]).first()]
     if n == 0 or rated.select("grade").distinct().count() < 2:
-        return OrdinalModel(top, None, None, [], shares)
-    texts = materialise(_words(docs.select("doc_id", "text").join(rated, "doc_id")).select("grade", "_tf"), "rated_texts")
-    idf = IDF(inputCol="_tf", outputCol="_x", minDocFreq=2).fit(texts)
-    cuts = idf.transform(texts).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(top))))
-    rows = _with_cuts(cuts, top, F.col("_k")).select("_in", (F.col("grade") >= F.col("_k")).cast("double").alias("_y"))
-    rows = materialise(rows, "cut_rows")
-    model = LogisticRegression(featuresCol="_in", labelCol="_y", fitIntercept=False, standardization=False, regParam=1e-4, maxIter=60).fit(rows)
-    thetas = sorted((float(model.coefficients[FEATURES + k]) for k in range(top)), reverse=True)
-    return OrdinalModel(top, idf, model, [t - float(model.coefficients[FEATURES]) for t in thetas], shares)
+        return OrdinalModel(top, None, [], shares)
+    texts = docs.select("doc_id", "text").join(rated, "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(top))))
+    rows = materialise(_inputs(texts, F.col("_k")).select("_x", (F.col("grade") >= F.col("_k")).cast("double").alias("_y")), "cut_rows")
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", fitIntercept=False, standardization=False, regParam=1e-3, maxIter=60).fit(rows)
+    cells = [_hashing().indexOf(f"at least {k}") for k in range(1, top + 1)]
+    thetas = [float(model.coefficients[c]) for c in cells]
+    return OrdinalModel(top, model, [t - thetas[0] for t in sorted(thetas, reverse=True)], shares)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -83,8 +82,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     if model.weights is None:
         out = docs.select(*keep, *[F.lit(s).alias(n) for n, s in zip(names, model.shares)])
     else:
-        x = _with_cuts(model.idf.transform(_words(docs.select(*keep))), model.top, F.lit(1))
-        x = model.weights.transform(x).withColumn("_m", F.element_at(vector_to_array("rawPrediction"), 2))
+        x = model.weights.transform(_inputs(docs.select(*keep), F.lit(1))).withColumn("_m", F.element_at(vector_to_array("rawPrediction"), 2))
         out = x.select(*keep, *[(1 / (1 + F.exp(-(F.col("_m") + F.lit(o))))).alias(n) for n, o in zip(names, model.offsets)])
     return out.withColumn("expected_grade", sum((F.col(n) for n in names), F.lit(0.0)))
 

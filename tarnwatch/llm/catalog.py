@@ -1,4 +1,5 @@
 """All text operators' queries and SQL; importing this module registers them."""
 
-from . import decontaminate, language_models, mixing, multiset_print, ordinal_quality, reshard  # noqa: F401
+from . import (  # noqa: F401
+    arc_warc, brown_lm, decontaminate, language_models, mixing, multiset_print, ordinal_quality, recompress, reshard, set_join)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

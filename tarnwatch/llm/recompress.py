@@ -6,8 +6,8 @@ and a second-class symbol becomes one symbol named by the two. Names are hashes
 documents and tasks. Whether symbols merge depends on them and their neighbours only: each symbol carries the stretch of
 words that decides it, and a symbol whose stretch lies inside a window of words occurs in every occurrence of the window.
 
-Every window of `WINDOW` words is represented by its highest-level symbol of this kind (the leftmost of several; at level
-0 a word itself, so there always is one). Equal windows have equal representatives, hence:
+Every window of `WINDOW` words is represented by the symbol of this kind that spans the most words (of the highest such
+level, among the first `TRIED` of a level; at level 0 a word itself, so there always is one). Equal windows have equal representatives, hence:
 
 1. Spark groups representatives over all documents; those of at least two documents reveal candidates. A representative stands for several neighbouring windows and is posted once for them.
 2. Only windows of candidates are verified: 96-bit hashes of their word sequences are grouped over all documents, and a
@@ -34,7 +34,9 @@ from .registry import register
 
 WINDOW = 13
 LEVELS = 5
+TRIED = 4
 CHUNK = 6 << 20
+PER_BUCKET = 64 << 20  # bytes of text whose entries make a bucket
 LAST = np.iinfo(np.int64).max  # stands for a NULL doc_id
 _SALT = np.random.default_rng(99).integers(1, 2**63, 4 * (LEVELS + 2), dtype=np.uint64) * U64(2) + U64(1)
 
@@ -54,13 +56,13 @@ def representatives(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.
     sym[at] = h
     begin = at[whole]
     names = mix(h[whole] ^ _SALT[0])
+    width = np.ones(len(names), np.int64)
     # Runs: a maximal run depends on the symbols on either side.
     cuts = groups_of(sym)
-    length = np.diff(cuts)
-    left, right = cuts[:-1] - 1, cuts[1:]
-    sym = mix(sym[cuts[:-1]] * _SALT[1] + length.astype(np.uint64) * _SALT[2])
-    first, last = np.maximum(left, 0), np.minimum(right, n - 1) + 1
-    names = _raise(names, begin, sym, first, last, n, window)
+    size = np.diff(cuts)
+    sym = mix(sym[cuts[:-1]] * _SALT[1] + size.astype(np.uint64) * _SALT[2])
+    first, last = np.maximum(cuts[:-1] - 1, 0), np.minimum(cuts[1:], n - 1) + 1
+    _take_wider(names, width, begin, sym, size, first, last, n, window)
     for level in range(1, LEVELS + 1):
         a, b, c = _SALT[3 * level : 3 * level + 3]
         second = (mix(sym ^ a) >> U64(63)).astype(bool)
@@ -73,21 +75,23 @@ def representatives(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.
         after = np.minimum(j + 1, len(sym) - 1)
         before = np.maximum(j - 1, 0)
         merged = mix(sym[j] * b + np.where(paired, sym[after], U64(0)) * c + U64(level))
+        size = size[j] + np.where(paired, size[after], 0)
         # A pair decides itself; a first-class symbol stays alone because of the next one, a second-class one of the one before.
         first, last = np.where(~paired & is_second, first[before], first[j]), np.where(paired | ~is_second, last[after], last[j])
         sym = merged
-        names = _raise(names, begin, sym, first, last, n, window)
+        _take_wider(names, width, begin, sym, size, first, last, n, window)
     return whole, names
 
 
-def _raise(names, begin, sym, first, last, n, window):
-    """Takes over, for each window, the leftmost symbol of this level whose deciding stretch lies inside."""
+def _take_wider(names, width, begin, sym, size, first, last, n, window):
+    """Gives each window a symbol of this level if one of those decided inside it spans at least as many words as the present."""
     ahead = np.concatenate(([0], np.cumsum(np.bincount(first, minlength=n))))  # symbols whose stretch starts before a place
-    j = ahead[begin]
-    ok = j < len(sym)
-    j[~ok] = 0
-    ok &= last[j] <= begin + window
-    return np.where(ok, sym[j], names)
+    start = ahead[begin]
+    for more in range(TRIED):
+        j = np.minimum(start + more, len(sym) - 1)
+        better = (start + more < len(sym)) & (last[j] <= begin + window) & (size[j] >= width + (more > 0))
+        names[better] = sym[j[better]]
+        width[better] = size[j[better]]
 
 
 def window_hashes(words: Words, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -101,34 +105,42 @@ def window_hashes(words: Words, starts: np.ndarray, window: int = WINDOW) -> tup
 
 
 def _blocks(bits: int, keys: np.ndarray, owners: np.ndarray, ids: np.ndarray, extra: list[np.ndarray]):
-    """One record batch of blocks: entries sorted by key, cut by the key's leading bits, with the ids of their owners."""
+    """One record batch of blocks: entries sorted by key, cut by the key's leading bits, with the ids of their owners.
+
+    The last 48 bits of a key travel; what is left of the first 16 is in the bucket's number.
+    """
     order = np.argsort(keys)
     keys, owners, extra = keys[order], owners[order], [x[order] for x in extra]
     cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << U64(64 - bits)), len(keys))
-    rows = [[] for _ in range(4 + len(extra))]
+    rows = [[] for _ in range(5 + len(extra))]
     for b in np.flatnonzero(np.diff(cuts)):
         lo, hi = cuts[b], cuts[b + 1]
         used, at = np.unique(owners[lo:hi], return_inverse=True)
-        for into, x in zip(rows, (int(b), keys[lo:hi].tobytes(), at.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), ids[used].tobytes(), *[x[lo:hi].tobytes() for x in extra])):
+        columns = ((keys[lo:hi] & U64(0xFFFFFFFF)).astype(np.uint32), (keys[lo:hi] >> U64(32) & U64(0xFFFF)).astype(np.uint16),
+                   at.astype(np.uint32 if len(used) > 65535 else np.uint16), ids[used], *[x[lo:hi] for x in extra])
+        for into, x in zip(rows, (int(b), *[x.tobytes() for x in columns])):
             into.append(x)
-    names = ["bucket", "keys", "owner", "ids", "more", "place"][: len(rows)]
+    names = ["bucket", "low", "high", "owner", "ids", "more", "place"][: len(rows)]
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=names)
 
 
+POSTED = "bucket int, low binary, high binary, owner binary, ids binary"
+
+
 def _unblocked(table: pa.Table):
-    """Entries of all blocks of a bucket: keys, owner index, ids (doc_id, text_key) of different owners, and the rest."""
-    keys = joined(table, "keys", np.uint64)
+    """Entries of all blocks of a bucket: keys, owner index, and ids (doc_id, text_key) of the different owners."""
+    keys = joined(table, "low", np.uint32).astype(np.uint64) | joined(table, "high", np.uint16).astype(np.uint64) << U64(32)
     owners, ids, at = [], [], 0
-    for k, o, i in zip(table.column("keys").to_pylist(), table.column("owner").to_pylist(), table.column("ids").to_pylist()):
+    for k, o, i in zip(table.column("low").to_pylist(), table.column("owner").to_pylist(), table.column("ids").to_pylist()):
         ids.append(np.frombuffer(i, np.int64).reshape(-1, 2))
-        owners.append(np.frombuffer(o, np.uint16 if len(o) * 4 == len(k) else np.uint32).astype(np.int64) + at)
+        owners.append(np.frombuffer(o, np.uint16 if len(o) * 2 == len(k) else np.uint32).astype(np.int64) + at)
         at += len(ids[-1])
     ids, owners = np.concatenate(ids), np.concatenate(owners)
     ids, back = np.unique(ids.view("i8,i8").ravel(), return_inverse=True)
-    return keys, back[owners], ids.view(np.int64).reshape(-1, 2)
+    return keys, back.ravel()[owners], ids.view(np.int64).reshape(-1, 2)
 
 
-ROUTED = "part int, doc_id long, text_key long, body binary, ids binary, counts binary, entries binary"
+ROUTED = "part int, ids binary, counts binary, entries binary, body binary"
 
 
 def _routed(bits: int, owners: np.ndarray, entries: np.ndarray, ids: np.ndarray):
@@ -143,14 +155,11 @@ def _routed(bits: int, owners: np.ndarray, entries: np.ndarray, ids: np.ndarray)
     for a, b in zip(edges[:-1], edges[1:]):
         which = by[a:b]
         pick = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in which])
-        row = [int(part[which[0]]), None, None, None, ids[used[which]].tobytes(), np.diff(cuts)[which].astype(np.uint32).tobytes(), entries[pick].tobytes()]
-        yield row
+        yield int(part[which[0]]), ids[used[which]].tobytes(), np.diff(cuts)[which].astype(np.uint32).tobytes(), entries[pick].tobytes(), None
 
 
 def _route_batch(rows):
-    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-    names = ["part", "doc_id", "text_key", "body", "ids", "counts", "entries"]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(5)], names=["part", "ids", "counts", "entries", "body"])
 
 
 def _part(text_key: np.ndarray, bits: int) -> np.ndarray:
@@ -188,7 +197,7 @@ def _shared_by_documents(bits: int):
         for _, table in keyed_blocks(batches, "bucket"):
             keys, owners, ids = _unblocked(table)
             shared = _shared(keys, ids[owners, 0])
-            rows = list(_routed(bits, owners[shared], keys[shared], ids))
+            rows = list(_routed(bits, owners[shared], keys[shared].astype(np.uint32), ids))
             if rows:
                 yield _route_batch(rows)
 
@@ -213,16 +222,16 @@ def _later(keys: np.ndarray, more: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _part_texts(table: pa.Table):
-    """The texts of a part and what was sent to them: ids, bytes and offsets, and (row, entry) pairs by their ids."""
-    body = table.column("body").to_pylist()
-    rows = [i for i, x in enumerate(body) if x is not None]
-    ids = np.stack((table.column("doc_id").take(pa.array(rows)).to_numpy(), table.column("text_key").take(pa.array(rows)).to_numpy()), axis=1) if rows else np.zeros((0, 2), np.int64)
+    """The texts of a part with their ids, and what was sent to them: address of each entry, addresses, entries."""
+    is_text = table.column("body").is_valid()
     unpack = zstandard.ZstdDecompressor()
-    texts = [unpack.decompress(body[i]) for i in rows]
-    sent = table.filter(pa.compute.is_valid(table.column("ids")))
-    to = joined(sent, "ids", np.int64).reshape(-1, 2)
-    counts = joined(sent, "counts", np.uint32)
-    return ids, texts, np.repeat(np.arange(len(to)), counts), to, joined(sent, "entries", np.uint64)
+    texts, packs = [], table.filter(is_text)
+    for body, sizes in zip(packs.column("body").to_pylist(), packs.column("counts").to_pylist()):
+        body, off = unpack.decompress(body), np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64))))
+        texts += [body[a:b] for a, b in zip(off[:-1], off[1:])]
+    sent = table.filter(pa.compute.invert(is_text))
+    to, counts = joined(sent, "ids", np.int64).reshape(-1, 2), joined(sent, "counts", np.uint32)
+    return joined(packs, "ids", np.int64).reshape(-1, 2), texts, np.repeat(np.arange(len(to)), counts), to, joined(sent, "entries", np.uint32)
 
 
 def _match(ids: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -244,7 +253,7 @@ def _window_blocks(bits: int, window: int):
             if not len(entries) or not texts:
                 continue
             own, number = _match(ids, to)
-            wanted = np.sort(_tagged(entries, number[who]))
+            wanted = np.sort(_tagged(entries.astype(np.uint64), number[who]))
             for rows in _portions([i for i in range(len(texts)) if own[i] >= 0], texts):
                 words = _words_of([texts[i] for i in rows])
                 start, names = representatives(words, window)
@@ -261,7 +270,8 @@ def _window_blocks(bits: int, window: int):
 
 
 def _tagged(names: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return mix(names ^ mix(number.astype(np.uint64) + _SALT[0]))
+    """One number for a representative's last 32 bits in a text; more than one may share it, which only adds candidates."""
+    return mix((names & U64(0xFFFFFFFF)) ^ mix(number.astype(np.uint64) + _SALT[0]))
 
 
 def _portions(rows: list, texts: list):
@@ -288,7 +298,7 @@ def _repeats(bits: int):
         for _, table in keyed_blocks(batches, "bucket"):
             keys, owners, ids = _unblocked(table)
             late = _later(keys, joined(table, "more", np.uint32), ids[owners, 0])
-            rows = list(_routed(bits, owners[late], joined(table, "place", np.uint32)[late].astype(np.uint64), ids))
+            rows = list(_routed(bits, owners[late], joined(table, "place", np.uint32)[late], ids))
             if rows:
                 yield _route_batch(rows)
 
@@ -330,18 +340,23 @@ def _without(window: int):
 
 
 def _texts(docs: DataFrame, bits: int) -> DataFrame:
-    """Texts compressed, with the part their key belongs to."""
+    """Texts packed and compressed by the part their key belongs to."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             data, off = string_buffers(batch.column("text"))
             ids = _row_ids(batch)
-            body = [pack.compress(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])]
-            none = pa.nulls(len(body), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_part(ids[:, 1].copy(), bits), pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(body, pa.binary()), none, none, none],
-                names=["part", "doc_id", "text_key", "body", "ids", "counts", "entries"])
+            part = _part(ids[:, 1].copy(), bits)
+            for lo, hi in row_chunks(off, CHUNK):
+                by = lo + np.argsort(part[lo:hi], kind="stable")
+                edges = groups_of(part[by])
+                rows = []
+                for a, b in zip(edges[:-1], edges[1:]):
+                    which = by[a:b]
+                    body = b"".join(data[off[i] : off[i + 1]].tobytes() for i in which)
+                    rows.append((int(part[which[0]]), ids[which].tobytes(), (off[which + 1] - off[which]).astype(np.uint32).tobytes(), None, pack.compress(body)))
+                yield _route_batch(rows)
 
     return docs.mapInArrow(run, ROUTED)
 
@@ -349,12 +364,12 @@ def _texts(docs: DataFrame, bits: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, removed spans, kept_text) per row of `docs`: kept words joined by one blank."""
     prepare(docs.sparkSession)
-    bits = bucket_bits(text_bytes(docs))
+    bits = bucket_bits(text_bytes(docs), PER_BUCKET, 4)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    posted = docs.mapInArrow(_representative_blocks(bits, window), "bucket int, keys binary, owner binary, ids binary")
+    posted = docs.mapInArrow(_representative_blocks(bits, window), POSTED)
     candidates = by_bucket(posted, "bucket").mapInArrow(_shared_by_documents(bits), ROUTED)
     texts = _texts(docs, bits)
-    windows = by_bucket(texts.unionByName(candidates), "part").mapInArrow(_window_blocks(bits, window), "bucket int, keys binary, owner binary, ids binary, more binary, place binary")
+    windows = by_bucket(texts.unionByName(candidates), "part").mapInArrow(_window_blocks(bits, window), POSTED + ", more binary, place binary")
     repeats = by_bucket(windows, "bucket").mapInArrow(_repeats(bits), ROUTED)
     return by_bucket(texts.unionByName(repeats), "part").mapInArrow(_without(window), KEPT)
 

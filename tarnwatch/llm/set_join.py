@@ -12,8 +12,9 @@ Relations between sets save most of the work:
 * Block skipping: a list is cut into blocks of equal set size and position of the shingle. Sizes and positions bound
   the overlap of two blocks' sets, and pairs of blocks that cannot reach the threshold are skipped as a whole, as are
   blocks whose sets are already linked with one another.
-* Answers from similar sets: every set is first held against one leader, the smallest set of the list that it shares most
-  prefix shingles with. Two sets whose leaders differ get their answer from the leaders' overlap: the symmetric
+* Answers from similar sets: every set is first held against a few leads of the lists it is in: the set with the fewest
+  shingles of its own, which is the most similar to all others, and some drawn by hash. The nearest linked one is its
+  leader. Two sets whose leaders differ get their answer from the leaders' overlap: the symmetric
   difference of x and y is at least that of the leaders less the distances of x and y to them. Only pairs that this
   cannot decide are compared themselves; sets that are connected already need no answer.
 
@@ -39,6 +40,8 @@ from .registry import register
 SHINGLE = 5
 SIMILAR = 80  # per cent
 CHUNK = 6 << 20  # bytes of text packed at once
+PER_BUCKET = 32 << 20  # bytes of text whose shingles make a bucket
+LEADS = 4  # sets of a list that the others are held against first
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -250,14 +253,12 @@ def candidate_sets(docs: DataFrame, size: int, similar: int) -> DataFrame:
 
     `shingles` are the shared ones as packed 64-bit numbers, those that the fewest sets hold first.
     """
-    spark = docs.sparkSession
-    n_bytes = text_bytes(docs)
-    bits = bucket_bits(n_bytes)
+    prepare(docs.sparkSession)
+    bits = bucket_bits(text_bytes(docs), PER_BUCKET, 5)
     parts = 1 << bits
     posted = docs.select("text").mapInArrow(_packed(bits, size), POSTED)
     shared = by_bucket(posted, "bucket").mapInArrow(_shared_of_bucket(bits, parts), SHARED)
     sets = by_bucket(shared, "part").mapInArrow(_candidate_sets(similar), "name binary, n long, shared long, shingles binary")
-    prepare(spark)
     return materialise(sets, "sets")
 
 
@@ -267,7 +268,7 @@ def _least(similar: int, a, b):
 
 
 def postings(sets: DataFrame, similar: int) -> DataFrame:
-    """(shingle, name, n, pos): shared shingles within the prefix. Unshared ones take the first positions."""
+    """(shingle, name, n, pos, own): shared shingles within the prefix. The set's `own`, unshared, take the first positions."""
 
     def run(batches):
         for batch in batches:
@@ -280,9 +281,9 @@ def postings(sets: DataFrame, similar: int) -> DataFrame:
             who = np.repeat(np.arange(len(n)), take)
             at = np.arange(len(who)) - np.repeat(np.cumsum(take) - take, take)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[off[who] + at]), batch.column("name").take(pa.array(who)), pa.array(n[who]), pa.array((at + (n - shared)[who]))], names=["shingle", "name", "n", "pos"])
+                [pa.array(keys[off[who] + at]), batch.column("name").take(pa.array(who)), pa.array(n[who]), pa.array((at + (n - shared)[who])), pa.array((n - shared)[who])], names=["shingle", "name", "n", "pos", "own"])
 
-    return sets.mapInArrow(run, "shingle long, name binary, n long, pos long")
+    return sets.mapInArrow(run, "shingle long, name binary, n long, pos long, own long")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -309,17 +310,21 @@ def _linked(similar: int):
 def links(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(a, b): enough links between different sets to connect all that are connected."""
     lists = materialise(postings(sets, similar), "lists")
-    # A list of one set proposes nothing.
-    first = lists.groupBy("shingle").agg(F.min(F.struct("n", "name")).alias("_lead"), F.count(F.lit(1)).alias("_long")).filter("_long > 1")
-    toward = lists.join(first, "shingle").filter((F.col("name") != F.col("_lead.name")) & (F.col("_lead.n") * 100 >= F.col("n") * similar))
-    votes = toward.groupBy(F.col("name").alias("a"), F.col("_lead.name").alias("b")).agg(F.count(F.lit(1)).alias("_v"))
-    chosen = votes.groupBy("a").agg(F.max(F.struct("_v", "b")).alias("_c")).select("a", F.col("_c.b").alias("b"))
+    # A list of one set proposes nothing. Leads of a list: the set with the fewest shingles of its own, and some by hash.
+    ranks = [F.struct("own", "n", "name")] + [F.struct(F.xxhash64("name", F.lit(k)).alias("own"), "n", "name") for k in range(1, LEADS)]
+    first = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("_long"), *[F.min(r).alias(f"_lead{k}") for k, r in enumerate(ranks)]).filter("_long > 1")
+    leads = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_lead{k}.name").alias("b"), F.col(f"_lead{k}.n").alias("nb")) for k in range(LEADS)])
+    toward = lists.join(first.select("shingle", leads.alias("_leads")), "shingle").select(F.col("name").alias("a"), F.col("n").alias("na"), F.explode("_leads").alias("_l"))
+    toward = toward.select("a", "na", "_l.k", "_l.b", "_l.nb").filter("a <> b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar)
+    votes = toward.groupBy("a", "k", "b").agg(F.count(F.lit(1)).alias("_v"))
+    chosen = votes.groupBy("a", "k").agg(F.max(F.struct("_v", "b")).alias("_c")).select("a", F.col("_c.b").alias("b")).distinct()
     star = materialise(overlaps(chosen, sets).filter(_linked(similar)), "star")
     found = star.select("a", "b")
     roots = materialise(components(found), "roots")
 
     # Leaders: the set's own star centre, or itself; distance is the size of the symmetric difference.
-    led = sets.select("name", "n").join(star.select(F.col("a").alias("name"), F.col("b").alias("_b"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("_d")), "name", "left")
+    centre = star.groupBy(F.col("a").alias("name")).agg(F.min(F.struct((F.col("na") + F.col("nb") - 2 * F.col("both")).alias("d"), "b")).alias("_s"))
+    led = sets.select("name", "n").join(centre.select("name", F.col("_s.b").alias("_b"), F.col("_s.d").alias("_d")), "name", "left")
     led = led.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
     led = materialise(led.select("name", F.coalesce("root", "name").alias("root"), F.coalesce("_b", "name").alias("leader"), F.coalesce("_d", F.lit(0)).alias("far")), "led")
     lists = materialise(lists.join(first.select("shingle"), "shingle", "left_semi").join(led, "name"), "lists")

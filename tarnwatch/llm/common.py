@@ -6,7 +6,6 @@ and a task holds one bucket at a time. The number of buckets follows the size of
 """
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -214,7 +213,7 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list, amount
 
     `bucket` is an integer column that agrees with the order. Buckets are summed first (combined before the shuffle),
     running sums over buckets give each bucket's start, and rows are ordered only inside (key, bucket).
-    `amounts` maps new column names to the summed columns.
+    `amounts` maps new column names to the summed columns; keys and buckets are never NULL.
     """
     part = keys + [bucket]
     total = df.groupBy(*part).agg(*[F.sum(c).alias(f"_{n}") for n, c in amounts.items()])
@@ -222,15 +221,10 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list, amount
     starts = total.select(*part, *[F.coalesce(F.sum(f"_{n}").over(w), F.lit(0)).alias(f"_{n}") for n in amounts])
     inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = df.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(n) for n, c in amounts.items()])
-    cond = [ranked[k].eqNullSafe(starts[k]) for k in part]
-    out = ranked.join(starts, cond, "left")
-    return out.select(*[ranked[c] for c in ranked.columns if c not in amounts], *[(ranked[n] + starts[f"_{n}"]).alias(n) for n in amounts])
+    out = ranked.join(starts, part)
+    return out.select(*[c for c in ranked.columns if c not in amounts], *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in amounts])
 
 
 def crc32_of_id(doc_id):
     """crc32 of the id written as text; a NULL id has none (and counts as in no fold)."""
     return F.crc32(doc_id.cast("string").cast("binary"))
-
-
-def spaces_collapsed(name: str) -> str:
-    return re.sub(r"\W+", "_", name)

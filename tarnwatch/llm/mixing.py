@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, word_count
+from .common import load, materialise, word_count
 from .registry import register
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -55,26 +55,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, share:
     """Every row of `docs` with `size`, `source_size`, `target`, `copies` (whole) and `taken` (words the mix takes)."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                             F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
-    sized = docs.select("*", word_count(F.col("text")).alias("_size"), key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, HEX_DIGITS))
-    cells = sized.groupBy("source", "_bucket").agg(F.sum("_size").alias("_cell"))
-    sizes = cells.groupBy("source").agg(F.sum("_cell").alias("source_size"))
-    targets = source_targets(sizes, weights, max_epochs, share).withColumns({
-        "_whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
-    })
+    # A NULL source is named by its own flag, so that groups, windows and joins share one partitioning.
+    cell = ["_null", "_name", "_bucket"]
+    sized = docs.select("*", word_count(F.col("text")).alias("_size"), key.alias("_key"), F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_name"))
+    sized = sized.withColumn("_bucket", F.substring("_key", 1, HEX_DIGITS))
+    cells = materialise(sized.groupBy(*cell).agg(F.sum("_size").alias("_cell")), "cells")
+    sizes = cells.groupBy("_null", "_name").agg(F.sum("_cell").alias("source_size"))
+    sizes = sizes.select("source_size", F.when(~F.col("_null"), F.col("_name")).alias("source"))
+    targets = source_targets(sizes, weights, max_epochs, share).withColumn(
+        "_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     # Words still to take after the whole repetitions.
     targets = targets.withColumn("_rest", F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
-    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_start", F.coalesce(F.sum("_cell").over(upto), F.lit(0)))
-    cells = cells.join(targets, cells["source"].eqNullSafe(targets["source"])).select(
-        cells["source"].alias("_src"), F.col("_bucket").alias("_b"), "_start", "_cell", "source_size", "target", "_whole", "_rest")
-    placed = sized.join(cells, sized["source"].eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_b"))).drop("_src", "_b")
-    ends = (F.col("_start") < F.col("_rest")) & (F.col("_start") + F.col("_cell") > F.col("_rest"))
-    inner = Window.partitionBy("source", "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    split = placed.filter(ends).withColumn("_before", F.col("_start") + F.coalesce(F.sum("_size").over(inner), F.lit(0)))
-    split = split.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_before"))))
-    clear = placed.filter(~ends).withColumns({
-        "_before": F.col("_start"), "_extra": F.when(F.col("_start") + F.col("_cell") <= F.col("_rest"), F.col("_size")).otherwise(F.lit(0).cast("long"))})
-    both = clear.unionByName(split)
+    targets = targets.select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_name"), "source_size", "target", "_whole", "_rest")
+    upto = Window.partitionBy("_null", "_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_start", F.coalesce(F.sum("_cell").over(upto), F.lit(0))).join(targets, ["_null", "_name"])
+    # Only inside a cell, one of thousands per source, rows are put in order.
+    inner = Window.partitionBy(*cell).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0))).join(cells.drop("_cell"), cell)
+    both = placed.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_start") - F.col("_inner"))))
     part = F.when((F.col("_size") > 0) & (F.col("_extra") * 2 >= F.col("_size")), 1).otherwise(0)
     return both.select(
         *[F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")], F.col("_size").alias("size"),

@@ -40,7 +40,7 @@ from .registry import register
 SHINGLE = 5
 SIMILAR = 80  # per cent
 CHUNK = 6 << 20  # bytes of text packed at once
-PER_BUCKET = 32 << 20  # bytes of text whose shingles make a bucket
+PER_BUCKET = 16 << 20  # bytes of text whose shingles make a bucket
 LEADS = 4  # sets of a list that the others are held against first
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -188,6 +188,7 @@ def _shared_of_bucket(bits: int, parts: int):
                     names.append(np.frombuffer(nm, np.uint64).reshape(-1, 2))
                     sizes.append(np.frombuffer(sz, np.uint32))
                     at += len(sizes[-1])
+            del table, block
             names, back, first = _unique_names(np.concatenate(names))
             sizes = np.concatenate(sizes)[first]
             keys, owners = np.concatenate(keys), back[np.concatenate(owners)]
@@ -200,6 +201,7 @@ def _shared_of_bucket(bits: int, parts: int):
             spread = np.diff(cuts)
             spread = np.repeat(spread, spread)
             held = spread > 1
+            del order, new
             keys, owners, spread = keys[held], owners[held], np.minimum(spread[held], 2**32 - 1).astype(np.uint32)
             if not len(keys):
                 continue

@@ -30,7 +30,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "16g")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", os.environ.get("SCRATCH_DIR", "/tmp/tarnwatch-scratch")).config("spark.driver.memory", "16g")
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .getOrCreate()
     )

@@ -32,13 +32,10 @@ def tree_samples(df: DataFrame, features, keys, trees: int, size: int, seed: int
     def unit(*salt):
         return F.pmod(F.xxhash64(*[F.lit(s) if isinstance(s, int) else s for s in salt], *keys), F.lit(1 << 53)) / float(1 << 53)
 
-    if n > trees * size * 4:
-        # Plenty of rows: each serves at most one tree, so only the drawn ones move.
-        drawn = rows.withColumn("_u", unit(seed)).filter(F.col("_u") < trees * size * 2.0 / n)
-        drawn = drawn.withColumn("tree", F.floor(unit(seed + 1) * trees).cast("int")).withColumn("_o", unit(seed + 2))
-    else:
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = drawn.withColumn("_o", unit(seed, F.col("tree"))).filter(F.col("_o") < min(1.0, size * 2.0 / n))
+    # Every row draws the trees it serves by hash, with about twice the rows a tree needs; only drawn rows move.
+    share = min(1.0, size * 2.0 / n)
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(seed, t) < share)
+    drawn = rows.withColumn("tree", F.explode(mine)).withColumn("_o", unit(seed, F.col("tree")))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_o"))
     return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= size).select("tree", "x")
 

@@ -105,13 +105,14 @@ def residual_range(residuals: DataFrame, column: str = "residual", coverage: flo
 
 
 def share_above(queries: DataFrame, threshold: str, residuals: DataFrame, column: str = "residual", name: str = "p") -> DataFrame:
-    """Adds the share of residuals strictly above each row's threshold.
+    """Adds the share of residuals strictly above each row's threshold; NULL for a row without a threshold.
 
     Rows and residuals are stacked and ranked inside value bins, with the counts of lower bins added, so neither side
     is collected however many there are.
     """
     row = F.struct(*[F.col(c) for c in queries.columns])
-    asked = queries.select(F.col(threshold).cast("double").alias("_x"), F.lit(1).alias("_side"), row.alias("_q"))
+    unasked = queries.filter(F.col(threshold).isNull()).withColumn(name, F.lit(None).cast("double"))
+    asked = queries.filter(F.col(threshold).isNotNull()).select(F.col(threshold).cast("double").alias("_x"), F.lit(1).alias("_side"), row.alias("_q"))
     given = residuals.filter(F.col(column).isNotNull()).select(
         F.col(column).cast("double").alias("_x"), F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_q"].dataType).alias("_q")
     )
@@ -129,4 +130,4 @@ def share_above(queries: DataFrame, threshold: str, residuals: DataFrame, column
     up = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     wanted = wanted.withColumn("_below", F.coalesce("_below", F.last("_upto", ignorenulls=True).over(up), F.lit(0)))
     out = ranked.join(wanted.select("_bin", "_below"), "_bin")
-    return out.select("_q.*", (F.lit(1.0) - (F.col("_below") + F.col("_in")) / total).alias(name))
+    return out.select("_q.*", (F.lit(1.0) - (F.col("_below") + F.col("_in")) / total).alias(name)).unionByName(unasked)

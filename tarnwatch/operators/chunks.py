@@ -10,6 +10,9 @@ shapes cover every window in this library instead:
 * recursions: composed per chunk and replayed (see `recursions.py`).
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,12 +106,15 @@ def carry_next(df: DataFrame, keys, clock: str, values: dict[str, Column], width
 def row_index(df: DataFrame, keys, clock: str, width: int, name: str = "_row") -> DataFrame:
     """Adds each row's position within its key by `clock`, for frames that count rows of an irregular table.
 
-    Positions inside a chunk plus the counts of the chunks before it: no window ever spans a whole key.
+    Positions inside a chunk plus the counts of the chunks before it: no window ever spans a whole key. Rows with a
+    NULL key or clock are numbered among themselves.
     """
     chunked = df.withColumn(CHUNK, F.floor(F.col(clock) / width))
     sizes = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(clock))
-    out = chunked.withColumn(name, inside).join(sizes, [*keys, CHUNK])
-    return out.withColumn(name, F.col(name) + F.col("_before")).drop(CHUNK, "_before")
+    sizes = sizes.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, CHUNK]})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, CHUNK]])
+    out = chunked.withColumn(name, inside).join(sizes, same, "left")
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop(CHUNK, "_before", *[f"_k_{k}" for k in [*keys, CHUNK]])

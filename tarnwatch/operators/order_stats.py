@@ -16,6 +16,8 @@ from .lineage import materialise
 
 BINS_PER_E = 256
 UNIT = 0.01
+RANKED = 20_000  # distinct values that one task may rank
+CUTS = 1_024  # parts into which a larger bin is cut
 VALUE, WEIGHT = "_x", "_m"
 POOLED = "\x00all"
 
@@ -44,13 +46,33 @@ def _ranked(counts: DataFrame, keys, ranks: dict) -> DataFrame:
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("bigint").alias("rank")) for name, rank in ranks.items()]
     )
-    here = F.filter(wanted, lambda s: (s["rank"] >= F.col("_below")) & (s["rank"] < F.col("_below") + F.col(WEIGHT)))
-    hit = bins.withColumn("_want", here).filter(F.size("_want") > 0).select(*keys, "_bin", "n", "_below", "_want")
-    near = counts.join(hit, [*keys, "_bin"])
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+
+    def hits(parts, below, weight):
+        here = F.filter(wanted, lambda s: (s["rank"] >= F.col(below)) & (s["rank"] < F.col(below) + F.col(weight)))
+        return parts.withColumn("_want", here).filter(F.size("_want") > 0)
+
+    hit = hits(bins, "_below", WEIGHT).select(*keys, F.col("_bin").cast("string").alias("_seg"), "n", "_below")
+    near = counts.withColumn("_seg", F.col("_bin").cast("string")).drop("_bin").join(hit, [*keys, "_seg"])
+    while True:
+        near = materialise(near, "ranked_values")
+        segments = near.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_d"), F.min(VALUE).alias("_lo"), F.max(VALUE).alias("_hi"))
+        if (segments.agg(F.max("_d")).first()[0] or 0) <= RANKED:
+            break
+        cut = near.join(segments, [*keys, "_seg"])
+        # Halves before the difference, so that the extremes of a double do not overflow.
+        share = (F.col(VALUE) / 2 - F.col("_lo") / 2) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") / 2 - F.col("_lo") / 2).otherwise(1.0)
+        part = F.when(F.col("_d") <= RANKED, 0).otherwise(F.least(F.floor(share * CUTS), F.lit(CUTS - 1))).cast("int")
+        cut = cut.withColumn("_part", part).drop("_d", "_lo", "_hi")
+        parts = cut.groupBy(*keys, "_seg", "n", "_below", "_part").agg(F.sum(WEIGHT).alias("_w"))
+        before = Window.partitionBy(*keys, "_seg").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_start", F.col("_below") + F.coalesce(F.sum("_w").over(before), F.lit(0)))
+        parts = hits(parts, "_start", "_w").select(*keys, "_seg", "_part", "_start")
+        near = cut.join(parts, [*keys, "_seg", "_part"]).withColumn("_below", F.col("_start"))
+        near = near.withColumn("_seg", F.concat_ws("/", "_seg", "_part")).drop("_part", "_start")
+    in_bin = Window.partitionBy(*keys, "_seg").orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_upto", F.col("_below") + F.sum(WEIGHT).over(in_bin))
     rank = F.col("_one.rank")
-    near = near.withColumn("_one", F.explode("_want")).filter(
+    near = near.withColumn("_one", F.explode(wanted)).filter(
         (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col(WEIGHT))
     )
     return near.groupBy(*keys).agg(

@@ -9,10 +9,10 @@ from tarnwatch.operators.grid import latest_wins
 from tarnwatch.sources.readers import ARRIVAL
 
 
-def inbox_stream(spark: SparkSession, folder: str, columns) -> DataFrame:
-    """New CSV files of a folder as text columns, with the file and block they came from."""
+def inbox_stream(spark: SparkSession, folder: str, columns, files_per_batch: int = 200) -> DataFrame:
+    """New CSV files of a folder as text columns, with the file and block they came from, so many files a batch."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.readStream.schema(schema).option("header", True).csv(folder)
+    rows = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(folder)
     return rows.select(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
@@ -28,16 +28,23 @@ def take_in(inbox: DataFrame, stamp: str, log: str, checkpoint: str) -> Streamin
     def append(batch: DataFrame, batch_id: int) -> None:
         day = F.coalesce(F.substring(F.trim(F.col(stamp)), 1, 10), F.lit("unknown"))
         rows = batch.withColumns({"_row": F.monotonically_increasing_id(), "_day": day})
-        rows.write.mode("overwrite").partitionBy("_day").parquet(f"{log}/_batch={batch_id}")
+        rows.repartition("_day").write.mode("overwrite").partitionBy("_day").parquet(f"{log}/_batch={batch_id}")
 
     return inbox.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def history(spark: SparkSession, log: str, station: str, stamp: str) -> DataFrame:
-    """The log with one row per station and raw time text, the last to arrive. A day filter prunes partitions."""
-    return latest_wins(spark.read.parquet(log), [station, stamp], ["_batch", *ARRIVAL])
+def history(spark: SparkSession, log: str, station: str, stamp: str, since: str | None = None) -> DataFrame:
+    """The log with one row per station and raw time text, the last to arrive.
+
+    `since` (a day as it begins the time texts) reads only the folders of that day and later; a reading's day follows from
+    its time text, so it is a key and filters on `_day` reach the scan.
+    """
+    rows = spark.read.parquet(log)
+    if since is not None:
+        rows = rows.filter(F.col("_day").cast("string") >= since)
+    return latest_wins(rows, [station, stamp, "_day"], ["_batch", *ARRIVAL])
 
 
 def compact(spark: SparkSession, log: str, station: str, stamp: str, target: str) -> None:
     """Write the deduplicated history as a new table, one set of files per day."""
-    history(spark, log, station, stamp).write.mode("errorifexists").partitionBy("_day").parquet(target)
+    history(spark, log, station, stamp).repartition("_day").write.mode("errorifexists").partitionBy("_day").parquet(target)

@@ -150,7 +150,7 @@ def test_soft_sensor_finds_the_signal(spark):
     out = sensor.estimate(df)
     assert out.agg(F.avg(F.col("bod").between(F.col("bod_lo"), F.col("bod_hi")).cast("double"))).first()[0] == pytest.approx(0.8, abs=0.08)
     assert out.filter("p_above_2 < p_above_3").count() == 0
-    unseen = soft_sensor.unseen_station_scores(df, "bod", ["x", "z"], "ridge", groups=8)
+    unseen = soft_sensor.unseen_station_scores(df, "bod", ["x", "z"], "ridge", folds=8)
     assert unseen.agg(F.max("mae")).first()[0] < 1.0
 
 

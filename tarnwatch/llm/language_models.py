@@ -287,12 +287,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModels:
 def calibrate(model: LanguageModels, left_out) -> None:
     """Temperature by likelihood, and the limits of rejection, from texts left out of training."""
     names = sorted(model.tables)
-    left_out = left_out[(left_out["n"] > 0) & left_out["lang"].isin(names)]
+    left_out = left_out[(left_out["__n"] > 0) & left_out["lang"].isin(names)]
     if not len(left_out):
         return
-    h = np.array(left_out["bits"].tolist()).reshape(len(left_out), len(names))
+    h = np.array(left_out["__bits"].tolist()).reshape(len(left_out), len(names))
     right = left_out["lang"].map(names.index).to_numpy()
-    n = left_out["n"].to_numpy(float)
+    n = left_out["__n"].to_numpy(float)
 
     def loss(t):
         z = -t * h
@@ -322,25 +322,26 @@ def _raw(docs: DataFrame, model: LanguageModels, keep: list[str]) -> DataFrame:
             count, bits = entropies(scorer, data, off)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(count), pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))],
-                names=[*keep, "n", "bits"])
+                names=[*keep, "__n", "__bits"])
 
     types = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "n long", "bits array<double>"]))
+    return docs.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "__n long", "__bits array<double>"]))
 
 
 def predict(docs: DataFrame, model: LanguageModels, keep: list[str]) -> DataFrame:
     """Columns `keep` with lang_pred, score, bits_per_sign and rejected; only the text is read for the prediction."""
     prepare(docs.sparkSession)
+    keep = [c for c in keep if c not in ("lang_pred", "score", "bits_per_sign", "rejected")]
     names = sorted(model.tables)
     if not names:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_sign"), F.lit(True).alias("rejected"))
     raw = _raw(docs.select("text", *[c for c in keep if c != "text"]), model, keep)
-    best = F.array_min("bits")
-    who = F.array_position("bits", best)
-    total = F.aggregate("bits", F.lit(0.0), lambda acc, b: acc + F.exp(F.lit(model.temperature) * (best - b)))
+    best = F.array_min("__bits")
+    who = F.array_position("__bits", best)
+    total = F.aggregate("__bits", F.lit(0.0), lambda acc, b: acc + F.exp(F.lit(model.temperature) * (best - b)))
     at = lambda k: F.element_at(F.array(*[F.lit(float(model.typical[x][k])) for x in names]), who.cast("int"))
-    far = (best - at(0)) / F.sqrt(at(1) + at(2) / F.col("n")) > at(3)
-    some = F.col("n") > 0
+    far = (best - at(0)) / F.sqrt(at(1) + at(2) / F.greatest(F.col("__n"), F.lit(1))) > at(3)
+    some = F.col("__n") > 0
     return raw.select(
         *keep, F.when(some, F.element_at(F.array(*[F.lit(x) for x in names]), who.cast("int"))).otherwise("und").alias("lang_pred"),
         F.when(some, 1 / total).otherwise(0.0).alias("score"), F.when(some, best).alias("bits_per_sign"), F.when(some, far).otherwise(True).alias("rejected"))

@@ -56,33 +56,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, share:
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                             F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     # A NULL source is named by its own flag, so that groups, windows and joins share one partitioning.
-    cell = ["_null", "_name", "_bucket"]
-    sized = docs.select("*", word_count(F.col("text")).alias("_size"), key.alias("_key"), F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_name"))
-    sized = sized.withColumn("_bucket", F.substring("_key", 1, HEX_DIGITS))
-    cells = materialise(sized.groupBy(*cell).agg(F.sum("_size").alias("_cell")), "cells")
-    sizes = cells.groupBy("_null", "_name").agg(F.sum("_cell").alias("source_size"))
-    sizes = sizes.select("source_size", F.when(~F.col("_null"), F.col("_name")).alias("source"))
+    cell = ["__null", "__name", "__bucket"]
+    sized = docs.select("*", word_count(F.col("text")).alias("__size"), key.alias("__key"), F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__name"))
+    sized = sized.withColumn("__bucket", F.substring("__key", 1, HEX_DIGITS))
+    cells = materialise(sized.groupBy(*cell).agg(F.sum("__size").alias("__cell")), "cells")
+    sizes = cells.groupBy("__null", "__name").agg(F.sum("__cell").alias("source_size"))
+    sizes = sizes.select("source_size", F.when(~F.col("__null"), F.col("__name")).alias("source"))
     targets = source_targets(sizes, weights, max_epochs, share).withColumn(
-        "_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        "__whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     # Words still to take after the whole repetitions.
-    targets = targets.withColumn("_rest", F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
-    targets = targets.select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_name"), "source_size", "target", "_whole", "_rest")
-    upto = Window.partitionBy("_null", "_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_start", F.coalesce(F.sum("_cell").over(upto), F.lit(0))).join(targets, ["_null", "_name"])
+    targets = targets.withColumn("__rest", F.round(F.col("target") - F.col("__whole") * F.col("source_size")).cast("long"))
+    targets = targets.select(F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__name"), "source_size", "target", "__whole", "__rest")
+    upto = Window.partitionBy("__null", "__name").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("__start", F.coalesce(F.sum("__cell").over(upto), F.lit(0))).join(targets, ["__null", "__name"])
     # Only inside a cell, one of thousands per source, rows are put in order.
-    inner = Window.partitionBy(*cell).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0))).join(cells.drop("_cell"), cell)
-    both = placed.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_start") - F.col("_inner"))))
-    part = F.when((F.col("_size") > 0) & (F.col("_extra") * 2 >= F.col("_size")), 1).otherwise(0)
+    inner = Window.partitionBy(*cell).orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("__inner", F.coalesce(F.sum("__size").over(inner), F.lit(0))).join(cells.drop("__cell"), cell)
+    both = placed.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - F.col("__start") - F.col("__inner"))))
+    part = F.when((F.col("__size") > 0) & (F.col("__extra") * 2 >= F.col("__size")), 1).otherwise(0)
     return both.select(
-        *[F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")], F.col("_size").alias("size"),
-        "source_size", "target", (F.col("_whole") * F.col("_size") + F.col("_extra")).alias("taken"), (F.col("_whole") + part).cast("int").alias("copies"))
+        *[F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")], F.col("__size").alias("size"),
+        "source_size", "target", (F.col("__whole") * F.col("__size") + F.col("__extra")).alias("taken"), (F.col("__whole") + part).cast("int").alias("copies"))
 
 
 def materialise_mix(docs: DataFrame, **kwargs) -> DataFrame:
     """The mixed rows themselves, with the columns of `docs`: each document `copies` times, part of one rounded."""
     mixed = mix(docs, **kwargs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 SQL = r"""

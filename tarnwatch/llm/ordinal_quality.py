@@ -47,12 +47,12 @@ def _sign(cut) -> Column:
 
 
 def _hashing() -> HashingTF:
-    return HashingTF(inputCol="_w", outputCol="_x", numFeatures=FEATURES, binary=True)
+    return HashingTF(inputCol="__w", outputCol="__x", numFeatures=FEATURES, binary=True)
 
 
 def _inputs(docs: DataFrame, cut) -> DataFrame:
     words = F.concat(F.array_distinct(words_column(F.col("text"), lower=True)), F.array(_sign(cut)))
-    return _hashing().transform(docs.withColumn("_w", words)).drop("_w")
+    return _hashing().transform(docs.withColumn("__w", words)).drop("__w")
 
 
 def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE) -> OrdinalModel:
@@ -67,9 +67,9 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE) ->
     shares = [r or 0.0 for r in rated.agg(*[F.avg((F.col("grade") >= k).cast("double")) for k in range(1, top + 1)]).first()]
     if n == 0 or rated.select("grade").distinct().count() < 2:
         return OrdinalModel(top, None, [], shares)
-    texts = docs.select("doc_id", "text").join(rated, "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(top))))
-    rows = materialise(_inputs(texts, F.col("_k")).select("_x", (F.col("grade") >= F.col("_k")).cast("double").alias("_y")), "cut_rows")
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", fitIntercept=False, standardization=False, regParam=1e-3, maxIter=60).fit(rows)
+    texts = docs.select("doc_id", "text").join(rated, "doc_id").withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(top))))
+    rows = materialise(_inputs(texts, F.col("__k")).select("__x", (F.col("grade") >= F.col("__k")).cast("double").alias("__y")), "cut_rows")
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", fitIntercept=False, standardization=False, regParam=1e-3, maxIter=60).fit(rows)
     cells = [_hashing().indexOf(f"at least {k}") for k in range(1, top + 1)]
     thetas = [float(model.coefficients[c]) for c in cells]
     return OrdinalModel(top, model, [t - thetas[0] for t in sorted(thetas, reverse=True)], shares)
@@ -82,8 +82,8 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     if model.weights is None:
         out = docs.select(*keep, *[F.lit(s).alias(n) for n, s in zip(names, model.shares)])
     else:
-        x = model.weights.transform(_inputs(docs.select(*keep), F.lit(1))).withColumn("_m", F.element_at(vector_to_array("rawPrediction"), 2))
-        out = x.select(*keep, *[(1 / (1 + F.exp(-(F.col("_m") + F.lit(o))))).alias(n) for n, o in zip(names, model.offsets)])
+        x = model.weights.transform(_inputs(docs.select(*keep), F.lit(1))).withColumn("__m", F.element_at(vector_to_array("rawPrediction"), 2))
+        out = x.select(*keep, *[(1 / (1 + F.exp(-(F.col("__m") + F.lit(o))))).alias(n) for n, o in zip(names, model.offsets)])
     return out.withColumn("expected_grade", sum((F.col(n) for n in names), F.lit(0.0)))
 
 

@@ -98,7 +98,7 @@ def reshard(docs: DataFrame, old_shard, shards: int = NEW_SHARDS, distance=None,
     order = ["size", "text_crc32", *(["doc_id"] if "doc_id" in own else [])]
     # Cells in order of size: the class of the size's logarithm in eighths, then a hash that splits equal sizes.
     spread = F.pmod(F.xxhash64("text_crc32", "doc_id" if "doc_id" in own else F.lit(0)), F.lit(SPREAD))
-    rows = rows.withColumn("_cell", (F.floor(F.log2("size") * 8) * SPREAD + spread).cast("int"))
+    rows = rows.withColumn("__cell", (F.floor(F.log2("size") * 8) * SPREAD + spread).cast("int"))
     sizes = {r[0]: int(r[1]) for r in rows.groupBy("old_shard").agg(F.sum("size")).collect()}  # one number per old shard
     flows = transfers(sizes, shards, distance) if sizes else {}
     # Each old shard's bytes, smallest documents first, are cut into consecutive stretches: transfers first, then what stays.
@@ -106,14 +106,14 @@ def reshard(docs: DataFrame, old_shard, shards: int = NEW_SHARDS, distance=None,
     for (i, j), amount in sorted(flows.items(), key=lambda f: (f[0][0], f[0][0] == f[0][1], f[0][1])):
         cuts.append((i, j, at.get(i, 0)))
         at[i] = at.get(i, 0) + amount
-    cuts = spark.createDataFrame(cuts, "_old int, _new int, _from long").groupBy("_old").agg(F.array_sort(F.collect_list(F.struct("_from", "_new"))).alias("_cuts"))  # at most shards^2 numbers
-    placed = prefix_sums(rows, ["old_shard"], "_cell", order, {"_before": "size"})
+    cuts = spark.createDataFrame(cuts, "__old int, __new int, __from long").groupBy("__old").agg(F.array_sort(F.collect_list(F.struct("__from", "__new"))).alias("__cuts"))  # at most shards^2 numbers
+    placed = prefix_sums(rows, ["old_shard"], "__cell", order, {"__before": "size"})
     # A document goes where its middle byte lies.
-    middle = F.col("_before") + F.col("size") / 2
-    placed = placed.join(cuts, F.col("old_shard") == F.col("_old"), "left")
-    shard = F.element_at(F.filter("_cuts", lambda c: c["_from"] <= middle), -1)["_new"]
-    placed = materialise(placed.select(*own, "size", "text_crc32", "old_shard", shard.alias("shard"), "_cell", F.lit(1).cast("long").alias("_one")), "placed")
-    return prefix_sums(placed, ["shard"], "_cell", order, {"slot": "_one"}).drop("_cell", "_one")
+    middle = F.col("__before") + F.col("size") / 2
+    placed = placed.join(cuts, F.col("old_shard") == F.col("__old"), "left")
+    shard = F.element_at(F.filter("__cuts", lambda c: c["__from"] <= middle), -1)["__new"]
+    placed = materialise(placed.select(*own, "size", "text_crc32", "old_shard", shard.alias("shard"), "__cell", F.lit(1).cast("long").alias("__one")), "placed")
+    return prefix_sums(placed, ["shard"], "__cell", order, {"slot": "__one"}).drop("__cell", "__one")
 
 
 def rewrite(spark: SparkSession, placed: DataFrame, folder: str, columns: list[str]) -> list[int]:

@@ -399,8 +399,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(rank).alias("_f"))
     rows = rows.join(first, "root").groupBy("doc_id", "text_key").agg(
         F.min((F.col("doc_id").eqNullSafe(F.col("_f.doc_id")) & (F.col("text_key") == F.col("_f.text_key"))).cast("int")).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
-    rows = materialise(rows.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"}), "kept_one")
-    same = _text_key().eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    rows = materialise(rows.withColumnsRenamed({"doc_id": "__kept_doc", "text_key": "__kept_key"}), "kept_one")
+    same = (_text_key() == F.col("__kept_key")) & F.col("doc_id").eqNullSafe(F.col("__kept_doc"))
     out = docs.join(rows.filter("_stays = 0"), same, "left_anti")
     twins = rows.filter("_stays = 1 and _rows > 1")
     if twins.isEmpty():

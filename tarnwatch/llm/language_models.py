@@ -278,7 +278,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModels:
     tables = {}
     for lang, part in grams.groupby("lang", sort=True):
         tables[lang] = build({"n": part["n"].to_numpy(), "count": part["count"].to_numpy(), **{c: part[c].to_numpy().view(np.uint64) for c in ("gram", "context", "tail")}})
-    model = LanguageModels(tables, 1.0, {lang: (0.0, 0.0, 0.0, math.inf) for lang in tables})
+    model = LanguageModels(tables, 1.0, {lang: (0.0, 1.0, 1.0, math.inf) for lang in tables})
     if tables:
         calibrate(model, _raw(chosen.filter("held_back").select("text", "lang"), model, ["lang"]).toPandas())
     return model

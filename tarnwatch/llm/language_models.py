@@ -269,10 +269,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModels:
     spark = docs.sparkSession
     prepare(spark)
     usable = docs.filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    size = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     space = 1 << 30
+    # One number per language: the share of its texts that is drawn.
+    share = {r[0]: min(space, space * sample // r[1]) for r in usable.groupBy("lang").agg(F.count(F.lit(1))).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(space))
-    chosen = usable.join(size, "lang").filter(draw < F.lit(space * sample) / F.col("_n"))
+    drawn = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair]) if share else F.create_map(F.lit(""), F.lit(0))
+    chosen = usable.filter(draw < drawn[F.col("lang")])
     chosen = materialise(chosen.select("text", "lang", (F.pmod(F.xxhash64("doc_id", F.lit("held back")), F.lit(5)) == 0).alias("held_back")), "language_sample")
     grams = count_grams(chosen.filter(~F.col("held_back")).select("text", "lang")).toPandas()  # bounded by the sample
     tables = {}

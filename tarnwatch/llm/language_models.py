@@ -142,40 +142,6 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
     return np.where(keys[i] == wanted, values[i], np.asarray(missing, values.dtype))
 
 
-def entropies(models: dict, data: np.ndarray, off: np.ndarray):
-    """(signs per text, bits per sign of each language): equal n-grams of a stretch of texts are scored once."""
-    names = sorted(models)
-    count, bits = np.zeros(len(off) - 1, np.int64), np.zeros((len(names), len(off) - 1))
-    for lo, hi in row_chunks(off, STRETCH):
-        whole = [signs(data[off[k] : off[k + 1]].tobytes())[0] for k in range(lo, hi)]
-        # A long text is scored in stretches that repeat the last signs as context.
-        pieces = [(k, s, x) for k, x in enumerate(whole) for s in range(1, max(len(x), 1), STRETCH)]
-        at = 0
-        while at < len(pieces):
-            upto, size = at, 0
-            while upto < len(pieces) and size < STRETCH:
-                size += min(STRETCH, len(pieces[upto][2]) - pieces[upto][1])
-                upto += 1
-            codes, owner = [], []
-            for k, s, x in pieces[at:upto]:
-                end = min(len(x), s + STRETCH)
-                lead = min(s, ORDER - 1)
-                codes.append(x[s - lead : end])
-                owner.append(np.concatenate((np.full(lead, -1), np.full(end - s, lo + k))))
-            grams = [np.concatenate(g) for g in zip(*[gram_hashes(c, ORDER) for c in codes])]
-            owner = np.concatenate(owner)
-            top, first, back = np.unique(grams[-1], return_index=True, return_inverse=True)
-            scored = owner >= 0
-            who, back = owner[scored], back[scored]
-            contexts = [_before(g, first) for g in grams]
-            picked = [g[first] for g in grams]
-            count += np.bincount(who, minlength=len(count))
-            for i, name in enumerate(names):
-                bits[i] += np.bincount(who, _scored(models[name], picked, contexts)[back], len(count))
-            at = upto
-    return names, count, bits / np.maximum(count, 1)
-
-
 def _before(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(at > 0, g[np.maximum(at - 1, 0)], U64(0))
 

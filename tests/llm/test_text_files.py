@@ -5,10 +5,15 @@ import itertools
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import arc_warc, decontaminate, multiset_print, reshard
-from tests.llm.helpers import corpus, empty, frame
+from tarnwatch.llm import arc_warc, decontaminate, mixing, multiset_print, reshard
+from tarnwatch.llm.common import LOWER, UPPER
+from tests.llm.helpers import corpus, empty, frame, words
+from tests.llm.test_text_sets import brute_groups
+
+LOWERED = dict(zip(UPPER, LOWER))
 
 
 def test_next_document_and_fingerprints(spark):
@@ -126,17 +131,87 @@ def test_rewrite_leaves_untouched_shards(spark, tmp_path):
     assert {(r["doc_id"], r["shard"]) for r in spark.read.parquet(folder).collect()} == {(1, 0), (2, 0), (3, 1), (4, 2)}
 
 
-def test_pipeline_stages(spark, tmp_path):
+def check_languages(before, after):
+    """Only whole rows go: those without letters, and next to no others."""
+    gone = Counter(before) - Counter(after)
+    assert not Counter(after) - Counter(before)
+    plain = [r for r in before if not any(c.isalpha() for c in r["text"] or "")]
+    assert all(gone[r] for r in plain) and sum(gone.values()) - len(plain) <= 0.02 * len(before)
+
+
+def check_copies(before, after):
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in before])
+    assert Counter(r["doc_id"] for r in after) == Counter(d for d, n, least in groups.elements() if not n or d == least)
+    assert not Counter(after) - Counter(before)
+
+
+def check_leaks(before, after, items):
+    """Documents that hold 13 words of an item, or a short item, go; each that goes has 10 equal words of some 13."""
+    plain = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").translate(str.maketrans(LOWERED)))
+    items = [w for w in map(plain, items) if len(w) >= decontaminate.SHORTEST]
+    runs = {tuple(w[i : i + 13]) for w in items for i in range(max(1, len(w) - 12))}
+    lengths = {len(r) for r in runs}
+    left = Counter(after)
+    assert not left - Counter(before)
+    for r in before:
+        words = plain(r["text"])
+        if any(tuple(words[i : i + n]) in runs for n in lengths for i in range(len(words) - n + 1)):
+            assert r not in left
+        elif r not in left:
+            assert any(near(words, item) for item in items)
+
+
+def near(words, item):
+    width = min(13, len(item))
+    for start in range(-len(item) + 1, len(words)):
+        same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(item)]
+        if any(sum(same[k : k + width]) >= decontaminate.AGREE * width for k in range(len(item) - width + 1)):
+            return True
+    return False
+
+
+def check_mix(before, after):
+    """Repeated water-filling; the copies of a document differ by one at most within a source and add up to the target."""
+    size = {r: len(words(r["text"])) for r in before}
+    sources = sorted({r["source"] for r in before}, key=lambda s: (s is None, s or ""))
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sources)}
+    own = {s: sum(size[r] for r in before if r["source"] == s) for s in sources}
+    budget, free, target = sum(own.values()), set(sources), {}
+    while free:
+        level = budget / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 3 * own[s]}
+        target |= {s: 3 * own[s] for s in full} if full else {s: level * weight[s] for s in free}
+        budget -= sum(3 * own[s] for s in full)
+        free = free - full if full else set()
+    copies = Counter(after)
+    assert not set(copies) - set(before)
+    for s in sources:
+        whole, rows = int(target[s] / own[s] + 1e-9), [r for r in before if r["source"] == s]
+        assert all(copies[r] in (whole, whole + 1) for r in rows if size[r])
+        assert abs(sum(copies[r] * size[r] for r in rows) - target[s]) <= max(size[r] for r in rows)
+
+
+def check_shards(before, after, columns):
+    assert Counter(tuple(r[c] for c in columns) for r in after) == Counter(map(tuple, before))
+    sizes, slots = Counter(), defaultdict(list)
+    for r in after:
+        sizes[r["shard"]] += len((r["text"] or "").encode()) + 1
+        slots[r["shard"]].append(r["slot"])
+    assert set(sizes) <= set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= max(len((r["text"] or "").encode()) for r in after)
+
+
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-        docs.write.parquet(path := str(tmp_path / name.replace(" ", "_")))
+    columns, before = docs.columns, docs.collect()
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    checks = [check_languages, check_copies, lambda a, b: check_leaks(a, b, items), check_mix, lambda a, b: check_shards(a, b, columns)]
+    for (name, stage), check in zip(corpus_pipeline.STAGES, checks, strict=True):
+        stage(spark, docs, sf).write.parquet(path := str(tmp_path / name.replace(" ", "_")))
         docs = spark.read.parquet(path)
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert docs.columns == columns
-        assert docs.count() > 0.3 * before
-    assert docs.select("shard").distinct().count() <= 16
+        assert check is checks[-1] or docs.columns == columns
+        check(before, after := docs.collect())
+        before = after

@@ -61,26 +61,68 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_models.predict(docs, language_models.train(none), ["doc_id"]).collect()} == {"und"}
 
 
-def test_long_text_scores_as_in_one_piece(spark, monkeypatch):
+def gram_table(texts):
+    """The n-grams of the texts as `build` takes them."""
+    rows = [[], [], [], []]
+    for text in texts:
+        hashes = language_models.gram_hashes(language_models.signs(text.encode())[0], language_models.ORDER)
+        for n in range(1, language_models.ORDER + 1):
+            g = hashes[n - 1][n - 1 :]
+            low = hashes[n - 2] if n > 1 else None
+            for into, x in zip(rows, (np.full(len(g), n), g, low[n - 2 : -1] if n > 1 else g * 0, low[n - 1 :] if n > 1 else g * 0)):
+                into.append(x)
+    n, g, ctx, tail = map(np.concatenate, rows)
+    _, first, count = np.unique(g, return_index=True, return_counts=True)
+    return {"n": n[first], "gram": g[first], "context": ctx[first], "tail": tail[first], "count": count}
+
+
+def brute_bits(texts, text):
+    """Bits of a text under interpolated Kneser-Ney, from strings and dictionaries."""
+    order = language_models.ORDER
+    spaced = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    seen = [Counter(s[i : i + n] for s in map(spaced, texts) for i in range(len(s) - n + 1)) for n in range(order + 2)]
+    levels = []
+    for n in range(1, order + 1):
+        before = Counter(g[1:] for g in seen[n + 1])
+        count = {g: seen[n][g] if n == order else before[g] for g in seen[n]}
+        ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
+        total, kinds = Counter(), Counter()
+        for g, c in count.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += c > 0
+        levels.append((count, ones / (ones + 2 * twos) if ones and twos else 0.75, total, kinds))
+    bits, s = 0.0, spaced(text)
+    for i in range(1, len(s)):
+        p = 1 / (len(seen[1]) + 1)
+        for n, (count, discount, total, kinds) in enumerate(levels, 1):
+            g = s[i - n + 1 : i + 1] if i >= n - 1 else None
+            if g is not None and total[g[:-1]]:
+                p = max(count.get(g, 0) - discount, 0) / total[g[:-1]] + discount * kinds[g[:-1]] / total[g[:-1]] * p
+        bits -= math.log2(p)
+    return bits
+
+
+def test_probabilities_match_brute_force():
+    import pyarrow as pa
+
+    from tarnwatch.llm.common import string_buffers
+
+    rng = random.Random(4)
+    learned = [" ".join(rng.choice(["stein", "stone", "ein", "one", "Öl"]) for _ in range(rng.randint(1, 30))) for _ in range(20)]
+    asked = ["stone", "a", "Stein, one! 12 öl", "unseen words xyz", learned[0], "o" * 40]
+    scorer = language_models.Scorer({"x": language_models.build(gram_table(learned))})
+    count, bits = language_models.entropies(scorer, *string_buffers(pa.array(asked)))
+    assert np.allclose(bits[:, 0] * count, [brute_bits(learned, t) for t in asked], rtol=1e-4)
+
+
+def test_long_text_scores_as_in_one_piece(monkeypatch):
     import pyarrow as pa
 
     from tarnwatch.llm.common import string_buffers
 
-    grams = {"n": np.zeros(0, np.int32), "count": np.zeros(0, np.int64), **{c: np.zeros(0, np.uint64) for c in ("gram", "context", "tail")}}
     rng = random.Random(3)
     text = " ".join(rng.choice(["ab", "abc", "cab"]) for _ in range(900))
-    codes, _ = language_models.signs(text.encode())
-    rows = [[], [], [], []]
-    hashes = language_models.gram_hashes(codes, language_models.ORDER)
-    for n in range(1, language_models.ORDER + 1):
-        g = hashes[n - 1][n - 1 :]
-        low = hashes[n - 2] if n > 1 else None
-        for into, x in zip(rows, (np.full(len(g), n), g, low[n - 2 : -1] if n > 1 else g * 0, low[n - 1 :] if n > 1 else g * 0)):
-            into.append(x)
-    n, g, ctx, tail = map(np.concatenate, rows)
-    _, first, count = np.unique(g, return_index=True, return_counts=True)
-    grams = {"n": n[first], "gram": g[first], "context": ctx[first], "tail": tail[first], "count": count}
-    scorer = language_models.Scorer({"x": language_models.build(grams)})
+    scorer = language_models.Scorer({"x": language_models.build(gram_table([text]))})
     data, off = string_buffers(pa.array([text, None, "abc"]))
     whole = language_models.entropies(scorer, data, off)
     monkeypatch.setattr(language_models, "STRETCH", 64)

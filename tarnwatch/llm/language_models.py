@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,10 +243,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModels:
     drawn = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair]) if share else F.create_map(F.lit(""), F.lit(0))
     chosen = usable.filter(draw < drawn[F.col("lang")])
     chosen = materialise(chosen.select("text", "lang", (F.pmod(F.xxhash64("doc_id", F.lit("held back")), F.lit(5)) == 0).alias("held_back")), "language_sample")
-    grams = count_grams(chosen.filter(~F.col("held_back")).select("text", "lang")).toPandas()  # bounded by the sample
+    grams = count_grams(chosen.filter(~F.col("held_back")).select("text", "lang")).toArrow()  # bounded by the sample
     tables = {}
-    for lang, part in grams.groupby("lang", sort=True):
-        tables[lang] = build({"n": part["n"].to_numpy(), "count": part["count"].to_numpy(), **{c: part[c].to_numpy().view(np.uint64) for c in ("gram", "context", "tail")}})
+    for lang in sorted(pc.unique(grams["lang"]).to_pylist()):
+        part = grams.filter(pc.equal(grams["lang"], lang))
+        tables[lang] = build({c: part[c].to_numpy() if c in ("n", "count") else part[c].to_numpy().view(np.uint64) for c in ("n", "count", "gram", "context", "tail")})
     model = LanguageModels(tables, 1.0, {lang: (0.0, 1.0, 1.0, math.inf) for lang in tables})
     if tables:
         calibrate(model, _raw(chosen.filter("held_back").select("text", "lang"), model, ["lang"]).toPandas())

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 from collections import Counter, defaultdict
 
 import pytest
@@ -62,6 +63,33 @@ def test_leaks_with_substitutions(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_hit_every_overlap_that_counts():
+    for n in range(1, 14):
+        lost = n - math.ceil(n * decontaminate.AGREE) if n >= decontaminate.SHORTEST else 0
+        for gone in itertools.combinations(range(n), lost):
+            hit = any(not {at + k for k in mask} & set(gone) for mask in decontaminate.masks_for(n) for at in range(n - mask[-1]))
+            assert hit, (n, gone)
+
+
+def test_leaks_with_every_replacement(spark):
+    """Items of 1 to 14 words, each with as many replaced words as count, and one more."""
+    bench, rows, want = [], [], set()
+    for n in (1, 3, 4, 5, 6, 8, 12, 14):
+        item = [f"n{n}w{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        width = min(n, 13)
+        lost = width - math.ceil(width * decontaminate.AGREE) if n >= decontaminate.SHORTEST else 0
+        for gone in itertools.combinations(range(width), lost + 1):
+            for many in (gone, gone[:-1]):
+                text = ["x" if k in many or k >= width else w for k, w in enumerate(item)]
+                rows.append((len(rows), " ".join(["before", *text, "after"]), None, None, None, None, None))
+                if len(many) == lost:
+                    want.add((len(rows) - 1, n))
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame(spark, rows), bench).collect()}
+    assert found == want
+
+
 PAGES = [(1, "http://a/ b", "x" * 1500, "u"), (2, "http://b", "x" * 1500, "u"), (9, None, "x" * 1500, "u"), (3, "http://c", "short", "u"), (4, "http://d", "short", "u"), (5, "", None, "u"),
          (6, "http://e", "é\r\n\r\nWARC/1.1\n" * 200, "u"), (None, "http://f", "y" * 2000, "u"), (7, "http://g", "y" * 2000, "u"), (7, "http://g", "y" * 2000, "u")]
 

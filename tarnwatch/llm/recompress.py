@@ -15,7 +15,11 @@ level, among the first `TRIED` of a level; at level 0 a word itself, so there al
 3. Words covered by a repeating window go. Windows are judged on the input, not on what is left.
 
 Posted entries travel packed in blocks by hash bucket, decisions go back to their documents in packed blocks, and texts
-travel compressed, twice. No passage, word or document is gathered beyond its bucket.
+travel compressed, twice. Texts are dealt by document and text, so copies of a text meet in no task. What a task's texts
+decide among themselves is not gathered: a representative that several of its documents have is posted for the smallest
+and the largest id alone, a window for the smallest, and the other entries go home by their owners, so a bucket holds at
+most two entries (one document's) of a representative or window per `CHUNK` of text, however many documents have it.
+Rows that agree in doc_id and text do meet in one task.
 
 Defined results: NULL and empty texts and texts shorter than the window lose nothing; a NULL doc_id counts as larger than
 all others; rows of one doc_id do not remove from one another, so repeated rows get equal results; an empty table gives
@@ -104,26 +108,58 @@ def window_hashes(words: Words, starts: np.ndarray, window: int = WINDOW) -> tup
     return out[0], (out[1] >> U64(32)).astype(np.uint32)
 
 
-def _blocks(bits: int, keys: np.ndarray, owners: np.ndarray, ids: np.ndarray, extra: list[np.ndarray]):
-    """One record batch of blocks: entries sorted by key, cut by the key's leading bits, with the ids of their owners.
+def _blocks(bits: int, keys: np.ndarray, owners: np.ndarray, ids: np.ndarray, extra: list[np.ndarray], open_: np.ndarray, sure: np.ndarray):
+    """One record batch of blocks: the entries `open_` cut by their key's leading bits, with the ids of their owners, and
+    the entries `sure`, which need no other document, cut by their owners' parts into buckets from 1 << bits on.
 
     The last 48 bits of a key travel; what is left of the first 16 is in the bucket's number.
     """
-    order = np.argsort(keys)
-    keys, owners, extra = keys[order], owners[order], [x[order] for x in extra]
-    cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << U64(64 - bits)), len(keys))
     rows = [[] for _ in range(5 + len(extra))]
-    for b in np.flatnonzero(np.diff(cuts)):
-        lo, hi = cuts[b], cuts[b + 1]
-        used, at = np.unique(owners[lo:hi], return_inverse=True)
-        columns = ((keys[lo:hi] & U64(0xFFFFFFFF)).astype(np.uint32), (keys[lo:hi] >> U64(32) & U64(0xFFFF)).astype(np.uint16),
-                   at.astype(np.uint32 if len(used) > 65535 else np.uint16), ids[used], *[x[lo:hi] for x in extra])
-        for into, x in zip(rows, (int(b), *[x.tobytes() for x in columns])):
-            into.append(x)
+    for beyond, pick in ((0, open_), (1 << bits, sure)):
+        bucket = _part(ids, bits)[owners[pick]] if beyond else (keys[pick] >> U64(64 - bits)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        pick, cuts = pick[by], np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            at = pick[cuts[b] : cuts[b + 1]]
+            used, owner = np.unique(owners[at], return_inverse=True)
+            columns = ((keys[at] & U64(0xFFFFFFFF)).astype(np.uint32), (keys[at] >> U64(32) & U64(0xFFFF)).astype(np.uint16),
+                       owner.astype(np.uint32 if len(used) > 65535 else np.uint16), ids[used], *[x[at] for x in extra])
+            for into, x in zip(rows, (beyond + int(b), *[x.tobytes() for x in columns])):
+                into.append(x)
     names = ["bucket", "low", "high", "owner", "ids", "more", "place"][: len(rows)]
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=names)
 
 
+def _once(ids: np.ndarray) -> np.ndarray:
+    """Marks one row of each (doc_id, text_key): equal rows share what is sent to them."""
+    first = np.zeros(len(ids), bool)
+    first[np.unique(np.ascontiguousarray(ids).view("i8,i8").ravel(), return_index=True)[1]] = True
+    return first
+
+
+def _decided_shared(keys: np.ndarray, owners: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries to post and entries whose key occurs here under different ids; of the latter only the outermost ids are posted."""
+    order = np.lexsort((owners, doc[owners], keys))
+    k, o = keys[order], owners[order]
+    order = order[np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))]
+    k, d = keys[order], doc[owners[order]]
+    cuts = groups_of(k)
+    first, last = cuts[:-1], cuts[1:] - 1
+    several = d[first] < d[last]
+    inside = np.repeat(several, np.diff(cuts))
+    posted = ~inside
+    posted[first] = posted[last] = True
+    return order[posted], order[inside]
+
+
+def _decided_later(keys: np.ndarray, more: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of the smallest id that has their key here, to post, and the others, which repeat it."""
+    late = _later(keys, more, doc)
+    least = np.ones(len(keys), bool)
+    least[late] = False
+    return np.flatnonzero(least), late
+
+
 POSTED = "bucket int, low binary, high binary, owner binary, ids binary"
 
 
@@ -149,7 +185,7 @@ def _routed(bits: int, owners: np.ndarray, entries: np.ndarray, ids: np.ndarray)
     owners, entries = owners[order], entries[order]
     cuts = groups_of(owners)
     used = owners[cuts[:-1]]
-    part = _part(ids[used, 1], bits)
+    part = _part(ids[used], bits)
     by = np.argsort(part, kind="stable")
     edges = groups_of(part[by])
     for a, b in zip(edges[:-1], edges[1:]):
@@ -162,8 +198,9 @@ def _route_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(5)], names=["part", "ids", "counts", "entries", "body"])
 
 
-def _part(text_key: np.ndarray, bits: int) -> np.ndarray:
-    return (text_key.view(np.uint64) >> U64(64 - bits)).astype(np.int64)
+def _part(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The part of each (doc_id, text_key): copies of a text in several documents are spread."""
+    return (mix(ids[:, 1].astype(np.uint64) ^ mix(ids[:, 0].astype(np.uint64) + _SALT[0])) >> U64(64 - bits)).astype(np.int64)
 
 
 def _representative_blocks(bits: int, window: int):
@@ -180,7 +217,10 @@ def _representative_blocks(bits: int, window: int):
                 # Neighbouring windows of one representative are one entry.
                 new = np.ones(len(names), bool)
                 new[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
-                yield _blocks(bits, names[new], owner[new], ids[lo:hi], [])
+                new &= _once(ids[lo:hi])[owner]
+                names, owner = names[new], owner[new]
+                if len(names):
+                    yield _blocks(bits, names, owner, ids[lo:hi], [], *_decided_shared(names, owner, ids[lo:hi, 0]))
 
     return run
 
@@ -194,9 +234,9 @@ def _shared_by_documents(bits: int):
     """Of a bucket's representatives, those of at least two documents, sent back to all of them."""
 
     def run(batches):
-        for _, table in keyed_blocks(batches, "bucket"):
+        for bucket, table in keyed_blocks(batches, "bucket"):
             keys, owners, ids = _unblocked(table)
-            shared = _shared(keys, ids[owners, 0])
+            shared = _shared(keys, ids[owners, 0]) if bucket < 1 << bits else np.arange(len(keys))
             rows = list(_routed(bits, owners[shared], keys[shared].astype(np.uint32), ids))
             if rows:
                 yield _route_batch(rows)
@@ -260,11 +300,11 @@ def _window_blocks(bits: int, window: int):
                 owner = words.owners()[start]
                 tags = _tagged(names, own[rows][owner])
                 at = np.minimum(np.searchsorted(wanted, tags), len(wanted) - 1)
-                hit = wanted[at] == tags
+                hit = (wanted[at] == tags) & _once(ids[rows])[owner]
                 start, owner = start[hit], owner[hit]
                 if len(start):
                     h, more = window_hashes(words, start, window)
-                    yield _blocks(bits, h, owner, ids[rows], [more, (start - words.first[owner]).astype(np.uint32)])
+                    yield _blocks(bits, h, owner, ids[rows], [more, (start - words.first[owner]).astype(np.uint32)], *_decided_later(h, more, ids[rows][owner, 0]))
 
     return run
 
@@ -295,9 +335,9 @@ def _repeats(bits: int):
     """Of a bucket's windows, the places of those that a document with a smaller id has too, sent back."""
 
     def run(batches):
-        for _, table in keyed_blocks(batches, "bucket"):
+        for bucket, table in keyed_blocks(batches, "bucket"):
             keys, owners, ids = _unblocked(table)
-            late = _later(keys, joined(table, "more", np.uint32), ids[owners, 0])
+            late = _later(keys, joined(table, "more", np.uint32), ids[owners, 0]) if bucket < 1 << bits else np.arange(len(keys))
             rows = list(_routed(bits, owners[late], joined(table, "place", np.uint32)[late], ids))
             if rows:
                 yield _route_batch(rows)
@@ -340,14 +380,14 @@ def _without(window: int):
 
 
 def _texts(docs: DataFrame, bits: int) -> DataFrame:
-    """Texts packed and compressed by the part their key belongs to."""
+    """Texts packed and compressed by the part their id and key belong to."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             data, off = string_buffers(batch.column("text"))
             ids = _row_ids(batch)
-            part = _part(ids[:, 1].copy(), bits)
+            part = _part(ids, bits)
             for lo, hi in row_chunks(off, CHUNK):
                 by = lo + np.argsort(part[lo:hi], kind="stable")
                 edges = groups_of(part[by])

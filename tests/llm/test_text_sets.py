@@ -3,6 +3,9 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from tarnwatch.llm import mixing, recompress, set_join
 from tests.llm.helpers import corpus, empty, frame, words
 
@@ -77,6 +80,37 @@ def test_repeats_match_brute_force(spark):
     assert all(sum(s["words"] for s in r["removed"]) == r["n_removed"] for r in out)
 
 
+def test_copies_meet_in_no_task():
+    """Of 400 documents with one text, every part gets some, and a bucket gets two entries of a representative, one of a window."""
+    text, bits = " ".join(f"w{i}" for i in range(200)), 4
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text_key": pa.array([77] * 400, pa.int64()), "text": [text] * 400})
+    ids = recompress._row_ids(batch)
+    assert set(recompress._part(ids, bits)) == set(range(16))
+    posted = pa.Table.from_batches(recompress._representative_blocks(bits, 13)([batch]))
+    for name, most in (("posted", 2), ("sure", 400)):
+        table = posted.filter([(b < 1 << bits) == (name == "posted") for b in posted.column("bucket").to_pylist()])
+        for b in set(table.column("bucket").to_pylist()):
+            keys, owners, who = recompress._unblocked(table.filter([x == b for x in table.column("bucket").to_pylist()]))
+            assert max(Counter(keys.tolist()).values()) <= (most if name == "posted" else most // 4)
+    keys, more, doc = np.zeros(400, np.uint64), np.zeros(400, np.uint32), np.arange(400)
+    first, late = recompress._decided_later(keys, more, doc)
+    assert first.tolist() == [0] and sorted(late.tolist()) == list(range(1, 400))
+
+
+def test_repeats_across_and_inside_chunks(spark, monkeypatch):
+    """Small chunks and batches decide as large ones do."""
+    rows = corpus()
+    monkeypatch.setattr(recompress, "PER_BUCKET", 4_000)
+    for size in ("1", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            out = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in recompress.remove_repeats(frame(spark, rows)).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        want = want if size != "1" else out
+        assert out == want and sum(out.values()) == len(rows)
+
+
 def test_mix_meets_targets(spark):
     rows = corpus()
     docs = frame(spark, rows)

@@ -1,12 +1,13 @@
 """Homomorphic multiset fingerprints of texts: wide vectors hashed from paragraphs, summed modulo powers of two.
 
 A text is the multiset of its parts: lines, and within a line its sentences (so that one-line texts have parts too).
-Every part is hashed to a vector of `LANES` bytes; the fingerprint adds the vectors lane by lane modulo 2^15 (2^14 in
-every fourth lane) and counts the parts. Sums commute, so the order of parts does not matter; adding or subtracting the vectors of
+Every part is hashed to a vector of `LANES` bytes; the fingerprint adds the vectors lane by lane modulo 2^31 (2^30 in
+every second lane) and counts the parts. Sums commute, so the order of parts does not matter; adding or subtracting the vectors of
 parts inserts or deletes them without the rest of the text. Unrelated parts have independent vectors, so the squared
-distance of two fingerprints estimates how many parts differ, whatever the length of the texts: that is `likeness`.
+distance of two fingerprints estimates how many parts differ, whatever the length of the texts: that is `likeness`. The
+sums of n parts, less their mean, spread by 74 * sqrt(n), so they do not come near the modulus in any text.
 
-Four lanes with a guard bit each travel in one long, so a lane-wise modular sum is one addition and a mask.
+Two lanes with a guard bit each travel in one long, so a lane-wise modular sum is one addition and a mask.
 Only DataFrame functions.
 
 Defined results: a NULL text is the empty text; empty texts have the all-zero fingerprint and likeness 1 among
@@ -24,10 +25,11 @@ from .registry import register
 
 HASHES = 8  # hashes per part, each of eight bytes
 LANES = 8 * HASHES
-# A long holds four lanes 16 bits apart: three of 15 bits, the topmost of 14, each with a guard bit above it.
-BYTES = 0x007F00FF00FF00FF  # the bytes that every second byte of a hash adds to the lanes (7 bits in the topmost)
-MASK = 0x3FFF7FFF7FFF7FFF
-GUARD = 0x4000800080008000
+# A long holds two lanes 32 bits apart: one of 31 bits, the upper of 30, each with a guard bit above it.
+BITS = (31, 30)
+BYTES = 0x000000FF000000FF  # the bytes that every fourth byte of a hash adds to the lanes
+MASK = 0x3FFFFFFF7FFFFFFF
+GUARD = 0x4000000080000000
 
 
 def parts(text) -> Column:
@@ -36,7 +38,7 @@ def parts(text) -> Column:
 
 
 def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the fingerprint of a text column: [count of parts, lanes...] as longs, two longs per hash."""
+    """Adds the fingerprint of a text column: [count of parts, lanes...] as longs, four longs per hash."""
     inner = [f"_{name}{k}" for k in range(HASHES)]
     df = df.withColumn(f"_{name}", F.transform(parts(F.col(text)), lambda p: F.xxhash64(p)))
 
@@ -48,7 +50,7 @@ def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
             acc + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(BYTES).cast("long"))).bitwiseAND(F.lit(MASK).cast("long")))
 
     df = df.withColumns({c: again(k) for k, c in enumerate(inner)})
-    longs = [total(c, shift) for c in inner for shift in (0, 8)]
+    longs = [total(c, shift) for c in inner for shift in (0, 8, 16, 24)]
     return df.withColumn(name, F.array(F.size(f"_{name}").cast("long"), *longs)).drop(f"_{name}", *inner)
 
 
@@ -69,16 +71,14 @@ def as_text(fingerprint: Column) -> Column:
 def _centred(fingerprint: Column) -> Column:
     """Lane sums less the mean of as many random bytes, around zero modulo the lane's power of two."""
     n = F.element_at(fingerprint, 1).cast("double")
-    longs = F.slice(fingerprint, 2, LANES // 4)
+    longs = F.slice(fingerprint, 2, LANES // 2)
 
     def lanes(k):
-        bits, mean = (14, 63.5) if k == 3 else (15, 127.5)
-        half = float(1 << bits - 1)
-        scale = 2.0 if k == 3 else 1.0  # bytes of seven bits spread half as far
-        return F.transform(longs, lambda x: F.lit(scale) * (F.pmod(
-            F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("double") - n * F.lit(mean) + F.lit(half), F.lit(2 * half)) - F.lit(half)))
+        half = float(1 << BITS[k] - 1)
+        return F.transform(longs, lambda x: F.pmod(
+            F.shiftrightunsigned(x, 32 * k).bitwiseAND(F.lit((1 << BITS[k]) - 1).cast("long")).cast("double") - n * F.lit(127.5) + F.lit(half), F.lit(2 * half)) - F.lit(half))
 
-    return F.concat(*[lanes(k) for k in range(4)])
+    return F.concat(*[lanes(k) for k in range(2)])
 
 
 def likeness(a: str, b: str) -> Column:

@@ -42,6 +42,19 @@ def test_fingerprint_is_a_homomorphism(spark):
     assert r["plus"][1:] == r["vx"][1:] and r["minus"][1:] == r["vq"][1:]
 
 
+def test_likeness_of_long_texts(spark):
+    """A third of the parts replaced: likeness 2/3 at any length."""
+    line = lambda i: F.concat(F.lit("line "), i.cast("string"), F.lit("\n"))
+    df = spark.createDataFrame([(300,), (3_000,), (50_000,)], "n int")
+    at = F.sequence(F.lit(1), F.col("n"))
+    df = df.withColumns({"x": F.concat_ws("", F.transform(at, line)), "y": F.concat_ws("", F.transform(at, lambda i: line(F.when(i % 3 == 0, -i).otherwise(i))))})
+    for c in "xy":
+        df = multiset_print.with_vector(df, c, f"v{c}")
+    df = df.withColumns({f"cv{c}": multiset_print._centred(F.col(f"v{c}")) for c in "xy"})
+    for r in df.select("n", "vx", multiset_print.likeness("vx", "vy").alias("near")).collect():
+        assert r["vx"][0] == r["n"] and abs(r["near"] - 2 / 3) < 0.2, (r["n"], r["near"])
+
+
 def test_leaks_with_substitutions(spark):
     item = [f"Item{i}" for i in range(30)]
     other = [f"other{i}" for i in range(40)]

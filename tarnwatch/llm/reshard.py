@@ -120,11 +120,17 @@ def rewrite(spark: SparkSession, placed: DataFrame, folder: str, columns: list[s
     """Write the files of the shards that a transfer touches under `folder/shard=N`; other shards' files are left alone.
 
     Returns the rewritten shards. A shard is touched if a row enters or leaves it. `placed` must not be read from `folder`.
+    The folder of a touched shard that keeps no row is deleted, as overwriting partitions leaves it alone.
     """
     moved = placed.filter("shard <> old_shard")
     touched = sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect())  # shard numbers
     rows = placed.filter(F.col("shard").isin(touched)).select(*columns, "shard")
     rows.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+    filled = {r[0] for r in rows.select("shard").distinct().collect()}  # shard numbers
+    for shard in touched:
+        if shard not in filled:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return touched
 
 

@@ -172,6 +172,18 @@ def test_rewrite_leaves_untouched_shards(spark, tmp_path):
     assert {(r["doc_id"], r["shard"]) for r in spark.read.parquet(folder).collect()} == {(1, 0), (2, 0), (3, 1), (4, 2)}
 
 
+def test_rewrite_to_fewer_shards(spark, tmp_path):
+    """16 shards become 12 on disk: every document is read back once, from its new shard."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+    folder, old = str(tmp_path / "shards"), F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
+    docs.withColumn("shard", old).write.partitionBy("shard").parquet(folder)
+    placed = reshard.reshard(docs, old, shards=12)
+    assert set(range(12, 16)) <= set(reshard.rewrite(spark, placed, folder, ["doc_id", "text"]))
+    back = Counter((r["doc_id"], r["text"], r["shard"]) for r in spark.read.parquet(folder).collect())
+    assert back == Counter((r["doc_id"], r["text"], r["shard"]) for r in placed.collect()) and len(back) == 300
+    assert {p.name for p in (tmp_path / "shards").glob("shard=*")} == {f"shard={k}" for k in range(12)}
+
+
 def check_languages(before, after):
     """Only whole rows go: those without letters, and next to no others."""
     gone = Counter(before) - Counter(after)

@@ -7,8 +7,9 @@ from tarnwatch import constants as K
 from tarnwatch.functions.clock import SLOT_US, micros
 from tarnwatch.functions.working import at_least, from_working, to_working
 
-from .chunks import SLOT_CHUNK
-from .joins import as_of
+from .joins import interval_pairs
+
+DAY_SLOTS = 144
 
 
 def _size_of(kind: Column, sensor: str) -> Column:
@@ -22,7 +23,8 @@ def apply_episodes(grid: DataFrame, episodes: DataFrame, sensors=K.LAKE_SENSORS)
     """The grid with each episode's effect on its own slots, plus `kind` ('' outside episodes).
 
     `episodes` has `ep`, `station_id`, `kind`, `sensor`, `start`, `end` and a signed `size`. A slot belongs to the
-    latest episode that began at or before it and has not ended, so overlapping entries never stack.
+    latest episode that began at or before it and has not ended (of equal starts the smallest `ep`), so overlapping
+    entries never stack and an enclosing episode goes on after a nested one.
     """
     spans = episodes.select(
         "station_id",
@@ -30,11 +32,10 @@ def apply_episodes(grid: DataFrame, episodes: DataFrame, sensors=K.LAKE_SENSORS)
         F.floor(micros(F.col("end")) / SLOT_US).alias("last"),
         "ep", "kind", "sensor", F.col("size").cast("double").alias("size"),
     ).filter("last >= first")
-    spans = spans.groupBy("station_id", F.col("first").alias("slot")).agg(
-        F.min_by(F.struct("first", "last", "ep", "kind", "sensor", "size"), "ep").alias("e")
-    )
-    out = as_of(grid, spans, ["station_id"], "slot", {"e": F.col("e")}, SLOT_CHUNK)
-    out = out.withColumn("e", F.when(F.col("e.last") >= F.col("slot"), F.col("e")))
+    spans = spans.withColumn("e", F.struct("first", "last", "ep", "kind", "sensor", "size")).select("station_id", "first", "last", "ep", "e")
+    pairs = interval_pairs(grid.select("station_id", "slot"), spans, ["station_id"], "slot", "first", "last", DAY_SLOTS)
+    acting = pairs.groupBy("station_id", "slot").agg(F.max_by("e", F.struct("first", -F.col("ep"))).alias("e"))
+    out = grid.join(acting, ["station_id", "slot"], "left")
 
     # A flat line holds the episode's first present value: one aggregate row per episode, looked up again.
     flat = out.filter(F.col("e.kind") == "flatline").select("station_id", F.col("e.ep").alias("_ep"), "slot", "e", *sensors)

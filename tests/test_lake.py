@@ -131,6 +131,18 @@ def test_injected_shapes(spark):
     assert run("dropout", "")[S][5:15].isna().all().all()
 
 
+def test_nested_and_same_start_episodes(spark):
+    rows = [("a", SLOT0 + i, 1.0, 1.0, 1.0, 1.0) for i in range(20)]
+    grid = spark.createDataFrame(rows, "station_id string, slot bigint, " + ", ".join(f"{s} double" for s in S))
+    at = lambda k: T0 + timedelta(minutes=10 * k)
+    e = spark.createDataFrame(
+        [(1, "a", "offset", "ph", at(2), at(14), 1.0), (2, "a", "dropout", "", at(5), at(7), 1.0), (3, "a", "drift", "ph", at(2), at(17), 1.0)],
+        "ep int, station_id string, kind string, sensor string, start timestamp_ntz, end timestamp_ntz, size double",
+    )
+    out = faults.apply_episodes(grid, e).orderBy("slot").toPandas()
+    assert list(out["kind"]) == [""] * 2 + ["offset"] * 3 + ["dropout"] * 3 + ["offset"] * 7 + ["drift"] * 3 + [""] * 2
+
+
 def known_metabolism(k=0.08, r=0.3, p=1.0, days=30):
     """Hourly oxygen integrated from known rates at constant temperature."""
     sat = float(np.exp(-139.34411 + 1.575701e5 / 298.15 - 6.642308e7 / 298.15**2 + 1.2438e10 / 298.15**3 - 8.621949e11 / 298.15**4)) * 0.93

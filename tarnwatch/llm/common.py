@@ -5,6 +5,7 @@ instead of rows: entries are cut by the leading bits of their hash into buckets,
 and a task holds one bucket at a time. The number of buckets follows the size of the input, so a bucket stays small.
 """
 
+import ctypes
 import math
 
 import numpy as np
@@ -41,6 +42,34 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: memory goes back when it likes
+        return None
+
+
+def tidied(run):
+    """A `mapInArrow` function whose worker gives the memory of a finished task back to the system.
+
+    Workers serve many tasks and stages. Without this, each keeps the most that any task before has used: the C library
+    learns from freed large arrays to keep such memory, and Arrow's pool keeps its own.
+    """
+
+    def held(batches):
+        libc = _libc()
+        if libc is not None:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of a MB or more are unmapped as soon as they are freed
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return held
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
 

@@ -26,15 +26,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, crc32_of_id, load, materialise, mix, prepare, row_chunks, string_buffers
+from .common import U64, crc32_of_id, load, materialise, mix, prepare, row_chunks, string_buffers, tidied
 from .registry import register
 
 ORDER = 5
 SAMPLE = 400
-STRETCH = 1 << 20  # bytes of text scored at once
+STRETCH = 1 << 18  # bytes of text scored at once
 MARGIN = 1.5
-KEPT = 3_000_000  # n-grams whose scores a task keeps
+KEPT = 1_000_000  # n-grams whose scores a task keeps
 SIGN = 32  # code of everything that is no letter
 _LETTERS: list = []
 _STEP = U64(0x100000001B3)
@@ -103,7 +104,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                     [pa.array([lang] * len(first)), pa.array(n[first]), *[pa.array(x[first].view(np.int64)) for x in (g, ctx, tail)], pa.array(count)],
                     names=["lang", "n", "gram", "context", "tail", "count"])
 
-    parts = texts.mapInArrow(run, "lang string, n int, gram long, context long, tail long, count long")
+    parts = texts.mapInArrow(tidied(run), "lang string, n int, gram long, context long, tail long, count long")
     return parts.groupBy("lang", "n", "gram", "context", "tail").agg(F.sum("count").alias("count"))
 
 
@@ -294,18 +295,22 @@ def _raw(docs: DataFrame, model: LanguageModels, keep: list[str]) -> DataFrame:
                 [*[batch.column(c) for c in keep], pa.array(count), pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))],
                 names=[*keep, "__n", "__bits"])
 
-    types = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "__n long", "__bits array<double>"]))
+    own = [T.StructField("__n", T.LongType()), T.StructField("__bits", T.ArrayType(T.DoubleType()))]
+    return docs.mapInArrow(tidied(run), T.StructType([*[docs.schema[c] for c in keep], *own]))
 
 
-def predict(docs: DataFrame, model: LanguageModels, keep: list[str]) -> DataFrame:
-    """Columns `keep` with lang_pred, score, bits_per_sign and rejected; only the text is read for the prediction."""
+OWN = ("lang_pred", "score", "bits_per_sign", "rejected")
+
+
+def _judged(docs: DataFrame, model: LanguageModels, keep: list[str]) -> DataFrame:
+    """The columns `keep` under the names __k0, __k1 and so on, with __lang, __score, __per_sign and __rejected."""
     prepare(docs.sparkSession)
-    keep = [c for c in keep if c not in ("lang_pred", "score", "bits_per_sign", "rejected")]
+    given = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
+    hidden = [f"__k{i}" for i in range(len(keep))]
     names = sorted(model.tables)
     if not names:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_sign"), F.lit(True).alias("rejected"))
-    raw = _raw(docs.select("text", *[c for c in keep if c != "text"]), model, keep)
+        return docs.select(*given, F.lit("und").alias("__lang"), F.lit(0.0).alias("__score"), F.lit(None).cast("double").alias("__per_sign"), F.lit(True).alias("__rejected"))
+    raw = _raw(docs.select("text", *given), model, hidden)
     best = F.array_min("__bits")
     who = F.array_position("__bits", best)
     total = F.aggregate("__bits", F.lit(0.0), lambda acc, b: acc + F.exp(F.lit(model.temperature) * (best - b)))
@@ -313,8 +318,26 @@ def predict(docs: DataFrame, model: LanguageModels, keep: list[str]) -> DataFram
     far = (best - at(0)) / F.sqrt(at(1) + at(2) / F.greatest(F.col("__n"), F.lit(1))) > at(3)
     some = F.col("__n") > 0
     return raw.select(
-        *keep, F.when(some, F.element_at(F.array(*[F.lit(x) for x in names]), who.cast("int"))).otherwise("und").alias("lang_pred"),
-        F.when(some, 1 / total).otherwise(0.0).alias("score"), F.when(some, best).alias("bits_per_sign"), F.when(some, far).otherwise(True).alias("rejected"))
+        *hidden, F.when(some, F.element_at(F.array(*[F.lit(x) for x in names]), who.cast("int"))).otherwise("und").alias("__lang"),
+        F.when(some, 1 / total).otherwise(0.0).alias("__score"), F.when(some, best).alias("__per_sign"), F.when(some, far).otherwise(True).alias("__rejected"))
+
+
+def predict(docs: DataFrame, model: LanguageModels, keep: list[str]) -> DataFrame:
+    """Columns `keep` with lang_pred, score, bits_per_sign and rejected; only the text is read for the prediction.
+
+    A kept column must not have one of these four names (`accepted` takes any columns).
+    """
+    if clash := sorted(set(keep) & set(OWN)):
+        raise ValueError(f"columns of the prediction's own names: {clash}")
+    judged = _judged(docs, model, keep)
+    own = [F.col(c).alias(n) for c, n in zip(("__lang", "__score", "__per_sign", "__rejected"), OWN)]
+    return judged.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *own)
+
+
+def accepted(docs: DataFrame, model: LanguageModels) -> DataFrame:
+    """The rows of `docs` that the models do not reject, with exactly the columns of `docs`, whatever their names."""
+    judged = _judged(docs, model, docs.columns).filter(~F.col("__rejected"))
+    return judged.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 @register("op8_language_models")

@@ -52,7 +52,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EP
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, share: float = 1.0, seed: int = 7) -> DataFrame:
-    """Every row of `docs` with `size`, `source_size`, `target`, `copies` (whole) and `taken` (words the mix takes)."""
+    """Every row of `docs` with `size`, `source_size`, `target`, `copies` (whole) and `taken` (words the mix takes).
+
+    These five take the place of columns of `docs` with the same names; `materialise_mix` leaves all columns as they are.
+    """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                             F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     # A NULL source is named by its own flag, so that groups, windows and joins share one partitioning.
@@ -81,8 +84,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, share:
 
 def materialise_mix(docs: DataFrame, **kwargs) -> DataFrame:
     """The mixed rows themselves, with the columns of `docs`: each document `copies` times, part of one rounded."""
-    mixed = mix(docs, **kwargs).filter("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    mixed = mix(whole, **kwargs).filter("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
 SQL = r"""

@@ -90,11 +90,18 @@ def transfers(old: dict[int, int], shards: int, distance=None) -> dict[tuple[int
 
 
 def reshard(docs: DataFrame, old_shard, shards: int = NEW_SHARDS, distance=None, keep: list[str] | None = None) -> DataFrame:
-    """All rows of `docs`, all columns or those in `keep`, with `size`, `old_shard`, `shard` and `slot` (gapless from 0 in each shard)."""
+    """All rows of `docs`, all columns or those in `keep`, with `size`, `old_shard`, `shard` and `slot` (gapless from 0 in each shard).
+
+    A column of `docs` that has the name of one of these (or `text_crc32`) is returned as `<name>_given`.
+    """
     spark = docs.sparkSession
-    own = [c for c in keep or docs.columns if c not in ("size", "old_shard", "shard", "slot", "text_crc32")]
+    named = {c: f"{c}_given" for c in keep or docs.columns if c in ("size", "old_shard", "shard", "slot", "text_crc32")}
+    if taken := sorted(set(named.values()) & set(docs.columns)):
+        raise ValueError(f"columns cannot be renamed, as these names are taken: {taken}")
+    own = [named.get(c, c) for c in keep or docs.columns]
+    docs = docs.withColumn("__old", old_shard.cast("int")).withColumnsRenamed(named)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*own, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    rows = docs.select(*own, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("__old").alias("old_shard"))
     order = ["size", "text_crc32", *(["doc_id"] if "doc_id" in own else [])]
     # Cells in order of size: the class of the size's logarithm in eighths, then a hash that splits equal sizes.
     spread = F.pmod(F.xxhash64("text_crc32", "doc_id" if "doc_id" in own else F.lit(0)), F.lit(SPREAD))

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (U64, Words, binary_array, bucket_bits, by_bucket, groups_of, joined, keyed_blocks, load, materialise,
-                     mix, prepare, row_chunks, string_buffers, text_bytes)
+                     mix, prepare, row_chunks, string_buffers, text_bytes, tidied)
 from .components import components
 from .registry import register
 
 SHINGLE = 5
 SIMILAR = 80  # per cent
-CHUNK = 6 << 20  # bytes of text packed at once
+CHUNK = 3 << 20  # bytes of text packed at once
 PER_BUCKET = 16 << 20  # bytes of text whose shingles make a bucket
 LEADS = 4  # sets of a list that the others are held against first
 _PLACE = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
@@ -58,7 +58,11 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
             full[:span] += h[k : k + span] * _PLACE[k]
     rest = np.repeat(words.first[1:], counts) - np.arange(len(h))  # words left in the text, this one included
     keep = rest >= size
-    out, who = mix(full[keep]), owner[keep]
+    del rest
+    full, who = full[keep], owner[keep]
+    del owner, keep
+    out = mix(full)
+    del full
     few = np.flatnonzero((counts > 0) & (counts < size))
     if len(few):
         short = np.array([sum(int(x) * int(p) for x, p in zip(h[words.first[i] : words.first[i + 1]], _PLACE)) + int(counts[i]) for i in few], dtype=object)
@@ -72,6 +76,7 @@ def distinct_shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     h, who = shingles(words, size)
     order = np.lexsort((who, h)) if len(h) < 2 else _order(h, who)
     h, who = h[order], who[order]
+    del order
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
     return h[new], who[new]
@@ -118,7 +123,7 @@ def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_key")], pa.array(n), names], names=["doc_id", "text_key", "n_shingles", "name"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, name binary")
+    return docs.mapInArrow(tidied(run), f"doc_id {kind}, text_key long, n_shingles long, name binary")
 
 
 POSTED = "bucket int, low binary, high binary, owner binary, names binary, sizes binary"
@@ -258,9 +263,9 @@ def candidate_sets(docs: DataFrame, size: int, similar: int) -> DataFrame:
     prepare(docs.sparkSession)
     bits = bucket_bits(text_bytes(docs), PER_BUCKET, 5)
     parts = 1 << bits
-    posted = docs.select("text").mapInArrow(_packed(bits, size), POSTED)
-    shared = by_bucket(posted, "bucket").mapInArrow(_shared_of_bucket(bits, parts), SHARED)
-    sets = by_bucket(shared, "part").mapInArrow(_candidate_sets(similar), "name binary, n long, shared long, shingles binary")
+    posted = docs.select("text").mapInArrow(tidied(_packed(bits, size)), POSTED)
+    shared = by_bucket(posted, "bucket").mapInArrow(tidied(_shared_of_bucket(bits, parts)), SHARED)
+    sets = by_bucket(shared, "part").mapInArrow(tidied(_candidate_sets(similar)), "name binary, n long, shared long, shingles binary")
     return materialise(sets, "sets")
 
 
@@ -285,7 +290,7 @@ def postings(sets: DataFrame, similar: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[off[who] + at]), batch.column("name").take(pa.array(who)), pa.array(n[who]), pa.array((at + (n - shared)[who])), pa.array((n - shared)[who])], names=["shingle", "name", "n", "pos", "own"])
 
-    return sets.mapInArrow(run, "shingle long, name binary, n long, pos long, own long")
+    return sets.mapInArrow(tidied(run), "shingle long, name binary, n long, pos long, own long")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -302,7 +307,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(both, pa.int64())], names=[*keep, "both"])
 
     types = dict(full.dtypes)
-    return full.mapInArrow(run, ", ".join([*[f"{c} {types[c]}" for c in keep], "both long"]))
+    return full.mapInArrow(tidied(run), ", ".join([*[f"{c} {types[c]}" for c in keep], "both long"]))
 
 
 def _linked(similar: int):

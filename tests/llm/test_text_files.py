@@ -268,3 +268,29 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
         assert check is checks[-1] or docs.columns == columns
         check(before, after := docs.collect())
         before = after
+
+
+CLASHING = ["size", "shard", "slot", "target", "taken", "copies", "source_size", "score", "lang_pred", "rejected", "bits_per_sign", "root", "name", "words", "__row odd"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the stages' own come back with their values; repeated rows and NULLs are taken."""
+    import corpus_pipeline
+
+    docs = frame(spark, corpus()).drop("size")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r[c] == c + ("-" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for c in CLASHING)
+    out = corpus_pipeline.sharded(spark, docs, "").collect()
+    assert all(r["size_given"].startswith("size") and r["shard_given"].startswith("shard") and r["slot_given"].startswith("slot") for r in out)
+    assert all(isinstance(r["shard"], int) for r in out) and len(out) == docs.count()
+
+
+def test_stages_take_empty_tables(spark):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(spark), "/root/testdata/sf0.001").count() == 0

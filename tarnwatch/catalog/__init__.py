@@ -11,6 +11,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     evaluation,
     reporting,
     fitted,
+    roundtrips,
 )
 from .registry import ORACLE_SQL, QUERIES
 

@@ -41,9 +41,8 @@ def with_departures(spark, sf):
     flagged = lake_qc.rule_tests(scaled_grid(spark, sf))
     flagged = flagged.withColumns({f"raw_{s}": F.col(s) for s in S})
     clean = lake_qc.clean_values(flagged, K.SHAPE_FAULTS)
-    clean = materialise(
-        clean.select("station_id", "slot", *S, *[f"raw_{s}" for s in S], *[f"{s}_reason" for s in S]), "clean"
-    )
+    clean = clean.select("station_id", "slot", *S, *[f"raw_{s}" for s in S], *[f"{s}_reason" for s in S])
+    clean = materialise(events.with_baseline(clean), "clean")
     return events.departures(clean, events.departure_scales(clean))
 
 
@@ -390,17 +389,30 @@ def interval_totals(spark, sf):
     return out.select("ep", "points", F.round("total", 6).alias("total"), "least", "greatest")
 
 
+cte("fault_log_base", """
+SELECT ep, station_id, "start", "start" + (2 + ep % 9) * INTERVAL 1 HOUR AS "end" FROM episodes
+UNION ALL SELECT ep + 1000003, station_id, "start", "start" + (1 + ep % 17) * INTERVAL 1 HOUR FROM episodes WHERE ep % 4 = 0
+UNION ALL SELECT ep + 2000003, station_id, "start" - INTERVAL 3 HOUR, "start" + INTERVAL 11 HOUR FROM episodes WHERE ep % 6 = 0""")
 cte("fault_log", """
 SELECT ep, station_id, "start", "end", (CASE WHEN ep % 2 = 0 THEN 1 ELSE -1 END) * (0.8 + (ep % 7) / 10.0::DOUBLE) AS size,
   ['spike', 'offset', 'drift', 'oscillation', 'flatline', 'event', 'dropout'][1 + ep % 7] AS kind,
-  CASE WHEN ep % 7 >= 5 THEN '' ELSE ['temperature', 'ph', 'turbidity', 'dissolved_oxygen'][1 + (ep // 7) % 4] END AS sensor FROM episodes""")
+  CASE WHEN ep % 7 >= 5 THEN '' ELSE ['temperature', 'ph', 'turbidity', 'dissolved_oxygen'][1 + (ep // 7) % 4] END AS sensor FROM fault_log_base""")
 
 
 def fault_log(spark, sf):
+    """Episodes of unequal length, some with a second one of the same start, some inside a longer one."""
     kinds = F.array(*[F.lit(k) for k in ("spike", "offset", "drift", "oscillation", "flatline", "event", "dropout")])
     sensors = F.array(*[F.lit(s) for s in S])
     ep = F.col("ep")
-    return tables.episodes(spark, sf).select(
+    log = tables.episodes(spark, sf).select("ep", "station_id", "start")
+
+    def hours(n):
+        return F.make_dt_interval(F.lit(0), n.cast("int"))
+
+    same = log.filter("ep % 4 = 0").select((ep + 1000003).alias("ep"), "station_id", "start", (F.col("start") + hours(1 + ep % 17)).alias("end"))
+    around = log.filter("ep % 6 = 0").select((ep + 2000003).alias("ep"), "station_id", (F.col("start") - hours(F.lit(3))).alias("start"), (F.col("start") + hours(F.lit(11))).alias("end"))
+    log = log.withColumn("end", F.col("start") + hours(2 + ep % 9)).unionByName(same).unionByName(around)
+    return log.select(
         "ep", "station_id", "start", "end",
         (F.when(ep % 2 == 0, 1.0).otherwise(-1.0) * (0.8 + (ep % 7) / 10)).alias("size"),
         F.get(kinds, (ep % 7).cast("int")).alias("kind"),
@@ -410,11 +422,14 @@ def fault_log(spark, sf):
 
 cte("fault_spans", """
 SELECT * FROM (SELECT ep, station_id, kind, sensor, size, CAST(ceil(epoch_us("start") / 600000000.0) AS BIGINT) AS first, epoch_us("end") // 600000000 AS last FROM fault_log)
-WHERE last >= first QUALIFY row_number() OVER (PARTITION BY station_id, first ORDER BY ep) = 1""")
+WHERE last >= first""")
+cte("fault_acting", """
+SELECT g.station_id, g.slot, e.* EXCLUDE (station_id) FROM slot_grid g JOIN fault_spans e ON e.station_id = g.station_id AND g.slot BETWEEN e.first AND e.last
+QUALIFY row_number() OVER (PARTITION BY g.station_id, g.slot ORDER BY e.first DESC, e.ep) = 1""")
 cte("fault_rows", """
-SELECT g.station_id, g.slot, g.temperature, g.ph, g.turbidity, g.dissolved_oxygen, CASE WHEN e.last >= g.slot THEN e.ep END AS ep,
-  CASE WHEN e.last >= g.slot THEN e.kind ELSE '' END AS kind, e.sensor, e.size, g.slot - e.first AS pos, e.last - e.first AS span
-FROM slot_grid g ASOF LEFT JOIN fault_spans e ON e.station_id = g.station_id AND g.slot >= e.first""")
+SELECT g.station_id, g.slot, g.temperature, g.ph, g.turbidity, g.dissolved_oxygen, e.ep, coalesce(e.kind, '') AS kind, e.sensor, e.size,
+  g.slot - e.first AS pos, e.last - e.first AS span
+FROM slot_grid g LEFT JOIN fault_acting e USING (station_id, slot)""")
 cte("fault_held", "SELECT *, " + ", ".join(
     f"first_value({s} IGNORE NULLS) OVER (PARTITION BY station_id, ep ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS held_{s}" for s in S)
     + """, CASE WHEN span > 0 THEN pos / span::DOUBLE ELSE 0 END AS along FROM fault_rows""")

@@ -14,6 +14,7 @@ from tarnwatch.models.forest import IsolationForest
 from tarnwatch.operators import calibration, grid, scoring, soft_features
 from tarnwatch.operators import forecast_features as ff
 from tarnwatch.operators.lineage import materialise
+from tarnwatch.operators.splits import blocked_folds
 from tarnwatch.sources import tables
 
 from .detection import with_departures
@@ -22,16 +23,21 @@ from .forecasting import air_weather, hours
 from .grading import wqi_inputs
 from .lakes import features, hourly, weather
 from .registry import register
-from .windows import S, dense_grid
+from .windows import S, T0, dense_grid, stamped
 
 SMALL = {"trees": 5, "depth": 3}
 
 
 def _training_rows(spark, sf):
-    rows = with_departures(spark, sf).select("station_id", "slot", *S, "candidate")
-    blocks = F.floor(F.col("slot") / (K.CV_BLOCK_DAYS * K.SLOTS_PER_DAY))
-    first = rows.select(F.min(blocks)).scalar()
-    return materialise(rows.withColumn("fold", F.pmod(blocks - first, F.lit(2)).cast("int")), "rows")
+    rows = materialise(with_departures(spark, sf).select("station_id", "slot", *S, "candidate"), "departures")
+    return materialise(blocked_folds(rows, "slot", K.CV_BLOCK_DAYS * K.SLOTS_PER_DAY)[0], "rows")
+
+
+@register("k2_block_folds", f"""
+SELECT station_id, {T0}, ((slot // 2016 - lo) % least(5, n))::INTEGER AS fold
+FROM d_slot_grid, (SELECT min(slot // 2016) AS lo, count(DISTINCT slot // 2016) AS n FROM d_slot_grid)""")
+def block_folds(spark, sf):
+    return stamped(blocked_folds(dense_grid(spark, sf), "slot", K.CV_BLOCK_DAYS * K.SLOTS_PER_DAY)[0], ["fold"])
 
 
 @register("k1_trend_plus_trees")
@@ -47,7 +53,7 @@ def blocked_out_of_fold(spark, sf):
     rows = _training_rows(spark, sf)
     inputs = ["temperature", "turbidity", "dissolved_oxygen"]
     trainer = regression.TrendPlusTrees(inputs, "ph", **SMALL)
-    held = regression.out_of_fold(rows, trainer.fit, lambda m, part: regression.predict(m, part, "predicted", inputs), 2)
+    held = regression.out_of_fold(rows, trainer.fit, lambda m, part: regression.predict(m, part, "predicted", inputs), rows.agg(F.max("fold") + 1).first()[0])
     return held.select("station_id", "slot", "fold", "ph", "predicted")
 
 
@@ -152,7 +158,10 @@ def wqi_classifier(spark, sf):
     return model.classify(test).select("src_ord", "wqi_class", "predicted_class", *[F.col(f"p_{c}").alias("p_" + c.replace(" ", "_").lower()) for c in K.WQI_CLASSES])
 
 
-@register("k11_station_week_folds")
+@register("k11_station_week_folds", """
+SELECT src_ord, CASE WHEN epoch_us("timestamp") > (SELECT quantile_cont(epoch_us("timestamp")::DOUBLE, 0.8) FROM wqi_rows WHERE wqi IS NOT NULL) THEN -1
+  ELSE (('0x' || substr(md5(station_id || '|' || strftime(date_trunc('week', "timestamp"), '%Y-%m-%d')), 1, 8))::BIGINT % 5)::INTEGER END AS fold
+FROM wqi_rows WHERE wqi IS NOT NULL""")
 def station_week_folds(spark, sf):
     train, test = classifier.time_split(_wqi_rows(spark, sf))
     parts = classifier.with_week_folds(train).select("src_ord", "fold").unionByName(test.select("src_ord", F.lit(-1).alias("fold")))

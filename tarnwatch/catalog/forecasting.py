@@ -233,11 +233,30 @@ def holdout_with_context(spark, sf):
     return out.select("station_id", from_hour(F.col("hour")).alias("timestamp"), *cols8(["week_mean"]))
 
 
-@register("h14_noisy_weather")
+def _sql_digits(name, first):
+    return f"('0x' || substr(md5('42|{name}|' || station_id || '|' || hour || '|' || horizon), {first}, 13))::BIGINT"
+
+
+def _sql_normal(name):
+    return f"(sqrt(-2 * ln(({_sql_digits(name, 1)} + 1) / 4503599627370496.0::DOUBLE)) * cos(2 * pi() * {_sql_digits(name, 14)} / 4503599627370496.0::DOUBLE))"
+
+
+NOISY = ["cloud_before_target_12h", "rain_before_target_24h", "air_at_target", "air_mean_ahead"]
+_NOISY_SQL = {
+    "cloud_before_target_12h": f"CASE WHEN cloud_before_target_12h IS NOT NULL THEN least(greatest(cloud_before_target_12h + {_sql_normal('cloud')} * (0.05 + 0.005 * horizon), 0.0), 1.0) END",
+    "rain_before_target_24h": f"CASE WHEN rain_before_target_24h IS NULL THEN NULL WHEN {_sql_digits('missed', 1)} / 4503599627370496.0::DOUBLE < 0.05 + 0.004 * horizon THEN 0.0 ELSE rain_before_target_24h * exp({_sql_normal('rain')} * (0.3 + 0.01 * horizon)) END",
+    "air_at_target": f"air_at_target + {_sql_normal('air')} * (0.3 + 0.03 * horizon)",
+    "air_mean_ahead": f"air_mean_ahead + {_sql_normal('air_mean')} * (0.3 + 0.03 * horizon)",
+}
+
+
+@register("h14_noisy_weather", "SELECT station_id, make_timestamp(hour * 3600000000) AS origin, horizon, " + ", ".join(
+    f"round({x}, 8) + 0.0 AS {c}" for c, x in _NOISY_SQL.items()) + " FROM (SELECT b.station_id, b.hour, b.horizon, " + ", ".join(f"w.{c}" for c in NOISY)
+    + " FROM h1_base b LEFT JOIN h1_weather w USING (station_id, hour, horizon))")
 def noisy_weather(spark, sf):
     h = hours(spark, sf)
     rows = ff.noisy_weather(ff.hourly_rows(h, ff.origin_hours(h, 6), HORIZONS, weather(spark, sf)))
-    return rows.select("station_id", from_hour(F.col("hour")).alias("origin"), "horizon", "cloud_before_target_12h", "rain_before_target_24h", "air_at_target", "air_mean_ahead")
+    return rows.select("station_id", from_hour(F.col("hour")).alias("origin"), "horizon", *cols8(NOISY))
 
 
 # ---------------------------------------------------------------------------- air forecast rows

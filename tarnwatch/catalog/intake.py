@@ -294,6 +294,37 @@ def slot_grid(spark, sf):
     return grid.with_timestamp(grid.slot_grid(tables.readings(spark, sf)))
 
 
+# Every 1,009th reading comes from a clock that was reset nine years back.
+cte("strayed", """
+SELECT * REPLACE (CASE WHEN src_ord % 1009 = 7 THEN "timestamp" - INTERVAL 3300 DAY ELSE "timestamp" END AS "timestamp") FROM readings""")
+cte("stray_days", """
+SELECT station_id, CAST(datediff('day', TIMESTAMP '1970-01-01', "timestamp") AS BIGINT) AS day, count(*) AS readings FROM strayed WHERE "timestamp" < TIMESTAMP '2020-01-01' GROUP BY 1, 2""")
+
+
+def strayed(spark, sf):
+    moved = F.when(F.col("src_ord") % 1009 == 7, F.col("timestamp") - F.make_dt_interval(F.lit(3300))).otherwise(F.col("timestamp"))
+    return tables.readings(spark, sf).withColumn("timestamp", moved)
+
+
+@register("d5_stray_clocks", "SELECT station_id, day, readings FROM stray_days")
+def stray_clocks(spark, sf):
+    return grid.stray_days(strayed(spark, sf))
+
+
+@register("d5_grid_without_strays", """
+SELECT station_id, min("timestamp") AS first_time, max("timestamp") AS last_time, count(*) AS slots, count(temperature) AS filled FROM (
+  SELECT c.station_id, make_timestamp(c.slot * 600000000) AS "timestamp", f.temperature FROM
+   (SELECT station_id, unnest(generate_series(min(slot), max(slot))) AS slot FROM slot_readings WHERE src_ord % 1009 <> 7 GROUP BY 1) c
+   LEFT JOIN (SELECT station_id, slot, temperature FROM slot_readings WHERE src_ord % 1009 <> 7 QUALIFY row_number() OVER (PARTITION BY station_id, slot ORDER BY src_ord) = 1) f USING (station_id, slot))
+GROUP BY 1""")
+def grid_without_strays(spark, sf):
+    rows = strayed(spark, sf)
+    slots = grid.with_timestamp(grid.slot_grid(grid.without_strays(rows, grid.stray_days(rows))))
+    return slots.groupBy("station_id").agg(
+        F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"), F.count(F.lit(1)).alias("slots"), F.count("temperature").alias("filled")
+    )
+
+
 @register("e1_hourly_mean", f"""
 SELECT station_id, make_timestamp(hour * 3600000000) AS "timestamp", {rounded(S)} FROM hour_grid""")
 def hourly_mean(spark, sf):

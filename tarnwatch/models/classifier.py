@@ -22,8 +22,9 @@ from .regression import out_of_fold
 
 def with_week_folds(df: DataFrame, folds: int = 5) -> DataFrame:
     """Readings of one station and week share a fold, so near-duplicates cannot leak across."""
-    week = F.date_trunc("week", F.col("timestamp"))
-    return df.withColumn("fold", F.pmod(F.xxhash64("station_id", F.date_format(week, "yyyy-MM-dd")), F.lit(folds)).cast("int"))
+    week = F.date_format(F.date_trunc("week", F.col("timestamp")), "yyyy-MM-dd")
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", "station_id", week)), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn("fold", (number % folds).cast("int"))
 
 
 def time_split(df: DataFrame, test_size: float = 0.2) -> tuple[DataFrame, DataFrame]:

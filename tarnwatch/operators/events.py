@@ -14,17 +14,23 @@ from .recursions import clipped_scan, smoothing
 from .robust import scale_columns, scales, trailing_medians
 
 
+def with_baseline(clean: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
+    """Adds `<s>_base`, the trailing weekly median, unless it is there: write the result where several steps need it."""
+    if all(f"{s}_base" in clean.columns for s in sensors):
+        return clean
+    return trailing_medians(clean, sensors, K.BASELINE_SLOTS, K.SLOTS_PER_DAY)
+
+
 def departure_scales(clean: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     """Normal spread of each sensor around its trailing weekly median, per station and over all stations."""
-    based = trailing_medians(clean.select("station_id", "slot", *sensors), sensors, K.BASELINE_SLOTS, K.SLOTS_PER_DAY)
+    based = with_baseline(clean, sensors)
     return scales(based.select("station_id", *[(F.col(s) - F.col(f"{s}_base")).alias(s) for s in sensors]), sensors=sensors)
 
 
 def departures(clean: DataFrame, scale_table: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     """Adds `dep_<s>` (departure from the trailing weekly median in normal spreads), how many depart, and whether
     enough do to make an event candidate."""
-    based = trailing_medians(clean, sensors, K.BASELINE_SLOTS, K.SLOTS_PER_DAY)
-    based = scale_columns(based, scale_table, prefix="_dscale_")
+    based = scale_columns(with_baseline(clean, sensors), scale_table, prefix="_dscale_")
     out = based.withColumns({f"dep_{s}": (F.col(s) - F.col(f"{s}_base")) / F.col(f"_dscale_{s}") for s in sensors})
     n = count_true([(F.abs(F.col(f"dep_{s}")) > K.EVENT_Z) & F.col(s).isNotNull() for s in sensors])
     out = out.withColumn("n_departing", n).withColumn("candidate", F.col("n_departing") >= K.EVENT_MIN_SENSORS)

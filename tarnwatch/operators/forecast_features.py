@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
 from tarnwatch.functions.clock import day_of_hour, from_day, from_hour, hour_of_day
+from tarnwatch.functions.noise import normal, uniform
 from tarnwatch.functions.timing import cyclic
 from tarnwatch.functions.water import oxygen_deficit
 from tarnwatch.functions.working import all_present, clip, to_working
@@ -139,15 +140,19 @@ def hourly_rows(
 
 
 def noisy_weather(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """Recorded weather ahead of the origin degraded into what a forecast would have said; error grows with lead."""
-    lead = F.col("horizon").cast("double")
-    missed = F.rand(seed) < 0.05 + 0.004 * lead
+    """Recorded weather ahead of the origin degraded into what a forecast would have said; error grows with lead.
+
+    The numbers come from hashes of the seed, the column and (station, hour, horizon), so a row gets the same error in any
+    order, partitioning or retry.
+    """
+    lead, keys = F.col("horizon").cast("double"), ["station_id", "hour", "horizon"]
+    missed = uniform(seed, "missed", keys) < 0.05 + 0.004 * lead
     rain = F.col("rain_before_target_24h")
     changes = {
-        "cloud_before_target_12h": clip(F.col("cloud_before_target_12h") + F.randn(seed + 1) * (0.05 + 0.005 * lead), 0.0, 1.0),
-        "rain_before_target_24h": F.when(missed & rain.isNotNull(), 0.0).otherwise(rain * F.exp(F.randn(seed + 2) * (0.3 + 0.01 * lead))),
-        "air_at_target": F.col("air_at_target") + F.randn(seed + 3) * (0.3 + 0.03 * lead),
-        "air_mean_ahead": F.col("air_mean_ahead") + F.randn(seed + 4) * (0.3 + 0.03 * lead),
+        "cloud_before_target_12h": clip(F.col("cloud_before_target_12h") + normal(seed, "cloud", keys) * (0.05 + 0.005 * lead), 0.0, 1.0),
+        "rain_before_target_24h": F.when(missed & rain.isNotNull(), 0.0).otherwise(rain * F.exp(normal(seed, "rain", keys) * (0.3 + 0.01 * lead))),
+        "air_at_target": F.col("air_at_target") + normal(seed, "air", keys) * (0.3 + 0.03 * lead),
+        "air_mean_ahead": F.col("air_mean_ahead") + normal(seed, "air_mean", keys) * (0.3 + 0.03 * lead),
     }
     return rows.withColumns(changes)
 

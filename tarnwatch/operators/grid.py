@@ -1,14 +1,17 @@
 """Regular clocks: first-wins dedupe, gap-free 10-minute and hourly grids, hourly means, short-gap interpolation."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
-from tarnwatch.functions.clock import from_hour, from_slot, hour_no, nearest_slot
+from tarnwatch.functions.clock import day_no, from_hour, from_slot, hour_no, nearest_slot
 
 from .chunks import HOUR_CHUNK, carry_last, carry_next
 from .lineage import materialise
 
+SPAN = 4_096  # clock steps that one row of a calendar is expanded to
+STRAY_GAP_DAYS = 366
+
 
 def first_per_slot(readings: DataFrame, order: str = "src_ord", sensors=K.LAKE_SENSORS) -> DataFrame:
     """One row per station and 10-minute slot: the reading that arrived first, missing values and all.
@@ -21,9 +24,16 @@ def first_per_slot(readings: DataFrame, order: str = "src_ord", sensors=K.LAKE_S
 
 
 def calendar(df: DataFrame, clock: str, beyond: int = 0, keys=("station_id",)) -> DataFrame:
-    """Every clock step of each key from its first to its last (plus `beyond` steps)."""
+    """Every clock step of each key from its first to its last (plus `beyond` steps).
+
+    A span is cut into rows of at most `SPAN` steps, dealt over the tasks, and the steps are made from those: no row
+    ever holds more than one stretch's steps, however long a key's history is.
+    """
     bounds = df.groupBy(*keys).agg(F.min(clock).alias("_lo"), (F.max(clock) + beyond).alias("_hi"))
-    return bounds.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(clock))
+    cut = bounds.withColumn("_part", F.explode(F.sequence(F.floor(F.col("_lo") / SPAN), F.floor(F.col("_hi") / SPAN))))
+    begin, end = F.greatest("_lo", F.col("_part") * SPAN), F.least("_hi", F.col("_part") * SPAN + SPAN - 1)
+    cut = cut.select(*keys, begin.cast("bigint").alias("_begin"), end.cast("bigint").alias("_end")).repartition(*keys, "_begin")
+    return cut.select(*keys, F.explode(F.sequence("_begin", "_end")).alias(clock))
 
 
 def on_calendar(df: DataFrame, clock: str, beyond: int = 0, keys=("station_id",), span_of: DataFrame | None = None) -> DataFrame:
@@ -35,6 +45,30 @@ def on_calendar(df: DataFrame, clock: str, beyond: int = 0, keys=("station_id",)
     return calendar(df if span_of is None else span_of, clock, beyond, keys).join(df, [*keys, clock], "left")
 
 
+def stray_days(readings: DataFrame, gap: int = STRAY_GAP_DAYS) -> DataFrame:
+    """(station_id, day, readings) of days whose readings lie outside of their station's own span of time.
+
+    A logger that lost its clock writes days years away, which would spread a calendar over all the years between. Days that
+    are at most `gap` days apart belong together; the stretch with the most readings (of equal ones the latest) is the
+    station's own, and all others are strays. One row per station and day is windowed, whatever the number of readings.
+    """
+    timed = readings.filter(F.col("timestamp").isNotNull() & F.col("station_id").isNotNull())
+    days = timed.groupBy("station_id", day_no(F.col("timestamp")).alias("day")).agg(F.count(F.lit(1)).alias("readings"))
+    by_day = Window.partitionBy("station_id").orderBy("day")
+    opens = F.coalesce((F.col("day") - F.lag("day").over(by_day) > gap).cast("int"), F.lit(0))
+    days = days.withColumn("_opens", opens)
+    days = materialise(days.withColumn("_stretch", F.sum("_opens").over(by_day.rowsBetween(Window.unboundedPreceding, 0))), "days")
+    size = days.groupBy("station_id", "_stretch").agg(F.sum("readings").alias("_n"))
+    own = size.groupBy("station_id").agg(F.max_by("_stretch", F.struct("_n", "_stretch")).alias("_own"))
+    return days.join(own, "station_id").filter("_stretch <> _own").select("station_id", "day", "readings")
+
+
+def without_strays(readings: DataFrame, strays: DataFrame) -> DataFrame:
+    """The readings that are not on a stray day (see `stray_days`); readings without a time or station stay."""
+    away = strays.select(F.col("station_id").alias("_s"), F.col("day").alias("_d"))
+    return readings.join(away, (F.col("station_id") == F.col("_s")) & (day_no(F.col("timestamp")) == F.col("_d")), "left_anti")
+
+
 def _slots_of(readings: DataFrame) -> DataFrame:
     return readings.select("station_id", nearest_slot(F.col("timestamp")).alias("slot")).filter("slot is not null")
 

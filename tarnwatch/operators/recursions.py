@@ -1,8 +1,9 @@
 """Order-dependent recursions of the form level = clip(a * level + b, -cap, cap), run in parallel chunks.
 
-Such steps (a >= 0) compose into one map of the same form, so a chunk reduces to four numbers per column. Composing
-those in chunk order gives every chunk its starting level, and the chunks then replay independently. A station's
-history of any length therefore spreads over tasks, and the result is the sequential one.
+Such steps (a >= 0) compose into one map of the same form, and composing is associative. So a chunk reduces to four
+numbers per column by halving, the chunks' maps in order give every chunk its starting level, and inside a chunk the
+maps up to each row come from doubling passes over whole columns: twelve passes for four weeks of slots, no loop over
+rows. A station's history of any length spreads over tasks, and the result is the sequential one.
 """
 
 import numpy as np
@@ -15,18 +16,44 @@ from .chunks import CHUNK
 from .lineage import materialise
 
 
-def _composed(a, b, cap):
-    """The maps of one chunk's rows (rows x columns) as one map per column: (A, B, low, high)."""
-    n = a.shape[1]
-    A, B = np.ones(n), np.zeros(n)
-    low, high = np.full(n, -np.inf), np.full(n, np.inf)
-    for ai, bi, ci in zip(a, b, cap):
-        constant = ai == 0
-        scale = np.where(constant, 1.0, ai)
-        A, B = ai * A, ai * B + bi
-        low = np.clip(np.where(constant, bi, scale * low + bi), -ci, ci)
-        high = np.clip(np.where(constant, bi, scale * high + bi), -ci, ci)
-    return A, B, low, high
+def _after(later, earlier):
+    """One map for two: `earlier`, then `later`. A map is four arrays (a, b, low, high): clip(a x + b, low, high)."""
+    a2, b2, low2, high2 = later
+    a1, b1, low1, high1 = earlier
+    constant = a2 == 0  # 0 times an open bound is no number; a constant map gives b2 whatever came before
+    scale = np.where(constant, 1.0, a2)
+    low, high = (np.where(constant, b2, scale * x + b2) for x in (low1, high1))
+    return a2 * a1, a2 * b1 + b2, np.clip(low, low2, high2), np.clip(high, low2, high2)
+
+
+def composed(maps):
+    """All rows' maps as one row, by halving: neighbours are joined until one is left."""
+    while len(maps[0]) > 1:
+        even = len(maps[0]) // 2 * 2
+        pairs = _after([m[1:even:2] for m in maps], [m[0:even:2] for m in maps])
+        maps = [np.concatenate((p, m[even:])) for p, m in zip(pairs, maps)]
+    return maps
+
+
+def prefixes(maps):
+    """For each row the map of all rows up to it, by doubling: each pass joins stretches twice as long."""
+    maps, reach = [np.array(m, dtype=float) for m in maps], 1
+    while reach < len(maps[0]):
+        longer = _after([m[reach:] for m in maps], [m[:-reach] for m in maps])
+        for m, x in zip(maps, longer):
+            m[reach:] = x
+        reach *= 2
+    return maps
+
+
+def applied(maps, level):
+    a, b, low, high = maps
+    return np.clip(a * level + b, low, high)
+
+
+def _maps(pdf, a_cols, b_cols, k_cols):
+    a, b, cap = (pdf[c].to_numpy(dtype=float) for c in (a_cols, b_cols, k_cols))
+    return a, b, -cap, cap
 
 
 def clipped_scan(df: DataFrame, keys, clock: str, recursions: dict, width: int) -> DataFrame:
@@ -47,9 +74,9 @@ def clipped_scan(df: DataFrame, keys, clock: str, recursions: dict, width: int)
 
     def fold(pdf):
         pdf = pdf.sort_values(clock)
-        maps = np.concatenate(_composed(pdf[a_cols].to_numpy(), pdf[b_cols].to_numpy(), pdf[k_cols].to_numpy()))
+        whole = np.concatenate(composed(_maps(pdf, a_cols, b_cols, k_cols)), axis=1)
         where = pdf[[*keys, CHUNK]].iloc[:1].reset_index(drop=True)
-        return pd.concat([where, pd.DataFrame(maps[None, :], columns=map_cols)], axis=1)
+        return pd.concat([where, pd.DataFrame(whole, columns=map_cols)], axis=1)
 
     # NaN never reaches here: a NULL input is expressed by the caller as a hold (a = 1, b = 0).
     maps = rows.select(*keys, CHUNK, clock, *inputs).groupBy(*keys, CHUNK).applyInPandas(
@@ -59,11 +86,9 @@ def clipped_scan(df: DataFrame, keys, clock: str, recursions: dict, width: int)
 
     def chain(pdf):
         pdf = pdf.sort_values(CHUNK)
-        A, B, low, high = (pdf[[f"_{p}{i}" for i in range(len(names))]].to_numpy() for p in "ABLH")
-        level, out = np.zeros(len(names)), np.empty((len(pdf), len(names)))
-        for row in range(len(pdf)):
-            out[row] = level
-            level = np.clip(A[row] * level + B[row], low[row], high[row])
+        upto = prefixes([pdf[[f"_{p}{i}" for i in range(len(names))]].to_numpy() for p in "ABLH"])
+        # A chunk starts from the level at the end of the one before it.
+        out = np.concatenate((np.zeros((1, len(names))), applied(upto, np.zeros(len(names)))[:-1]))
         where = pdf[[*keys, CHUNK]].reset_index(drop=True)
         return pd.concat([where, pd.DataFrame(out, columns=starts)], axis=1)
 
@@ -77,11 +102,7 @@ def clipped_scan(df: DataFrame, keys, clock: str, recursions: dict, width: int)
 
     def replay(pdf):
         pdf = pdf.sort_values(clock)
-        a, b, cap = pdf[a_cols].to_numpy(), pdf[b_cols].to_numpy(), pdf[k_cols].to_numpy()
-        level, out = pdf[starts].iloc[0].to_numpy(dtype=float), np.empty(a.shape)
-        for row in range(len(pdf)):
-            level = np.clip(a[row] * level + b[row], -cap[row], cap[row])
-            out[row] = level
+        out = applied(prefixes(_maps(pdf, a_cols, b_cols, k_cols)), pdf[starts].iloc[0].to_numpy(dtype=float))
         kept_columns = pdf.drop(columns=list(helpers)).reset_index(drop=True)
         return pd.concat([kept_columns, pd.DataFrame(out, columns=names)], axis=1)
 

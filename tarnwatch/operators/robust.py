@@ -11,7 +11,7 @@ from tarnwatch.functions.working import in_range, to_working
 
 from .chunks import CHUNK, CORE, SLOT_CHUNK, framed, with_halo
 from .lineage import materialise
-from .order_stats import POOLED, median, quantiles, robust_std, with_pooled
+from .order_stats import POOLED, median, quantiles, robust_std, table_of
 
 
 def per_sensor(values: dict) -> Column:
@@ -51,8 +51,8 @@ def widened(table: DataFrame, value: str, sensors, name: str) -> DataFrame:
 
 def scales(values: DataFrame, floors=K.MIN_SCALE, sensors=K.LAKE_SENSORS) -> DataFrame:
     """Robust `scale_<sensor>` per station, plus the all-station scales under the key NULL, from one grouping."""
-    both = with_pooled(long(values, ["station_id"], sensors), "station_id")
-    out = robust_std(both, ["station_id", "sensor"], "value", per_sensor(floors))
+    rows = table_of(values.select("station_id", *sensors))
+    out = robust_std(long(rows, ["station_id"], sensors), ["station_id", "sensor"], "value", per_sensor(floors), pooled="station_id")
     return widened(out, "scale", sensors, "scales")
 
 
@@ -76,15 +76,16 @@ def scale_columns(df: DataFrame, table: DataFrame, floors=K.MIN_SCALE, sensors=K
 
 def step_scales(grid: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     """Robust scale of one-step changes per station; the key NULL holds each sensor's median over stations."""
-    changes = long(steps(working(grid, sensors), sensors), ["station_id"], sensors)
+    changes = long(table_of(steps(working(grid, sensors), sensors).select("station_id", *sensors)), ["station_id"], sensors)
     own = materialise(robust_std(changes, ["station_id", "sensor"], "value", per_sensor(K.RESOLUTION)), "step_scales")
     shared = median(own, ["sensor"], "scale", "scale").select(F.lit(POOLED).alias("station_id"), "sensor", "scale")
     return widened(own.unionByName(shared), "scale", sensors, "step_scales")
 
 
-def bands(values: DataFrame, keys, sensors=K.LAKE_SENSORS, probs=K.BAND_QUANTILES, margin=K.BAND_MARGIN) -> DataFrame:
+def bands(values: DataFrame, keys, sensors=K.LAKE_SENSORS, probs=K.BAND_QUANTILES, margin=K.BAND_MARGIN, pooled: str | None = None) -> DataFrame:
     """Per key and sensor the outer quantiles widened by a margin; NULL with fewer than a day of values."""
-    q = quantiles(long(values, keys, sensors), [*keys, "sensor"], "value", {"q_low": probs[0], "q_high": probs[1]})
+    rows = table_of(values.select(*keys, *sensors))
+    q = quantiles(long(rows, keys, sensors), [*keys, "sensor"], "value", {"q_low": probs[0], "q_high": probs[1]}, pooled)
     pad = F.lit(float(margin)) * (F.col("q_high") - F.col("q_low"))
     known = F.col("n") >= K.BAND_MIN_VALUES
     return q.select(
@@ -109,7 +110,7 @@ def monthly_bands(values: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
 
 def envelope(values: DataFrame, sensors=K.LAKE_SENSORS) -> DataFrame:
     """Training envelope per station, plus the all-station one under the key NULL."""
-    out = wide_bands(bands(with_pooled(values, "station_id"), ["station_id"], sensors), ["station_id"], sensors)
+    out = wide_bands(bands(values, ["station_id"], sensors, pooled="station_id"), ["station_id"], sensors)
     return materialise(out.withColumn("station_id", F.when(F.col("station_id") != POOLED, F.col("station_id"))), "envelope")
 
 

@@ -32,13 +32,19 @@ def read_inbox(spark: SparkSession, folder: str, columns) -> DataFrame:
 
 
 def read_readings(df: DataFrame, order: Column | None = None) -> DataFrame:
-    """Lake readings as typed columns. Unreadable numbers and times become NULL; rows keep their input order."""
+    """Lake readings as typed columns. Unreadable numbers and times become NULL.
+
+    `src_ord` is the order in which rows count: `order`, else the arrival columns of an inbox (file by file, by place in
+    the file), else the order of the table's partitions.
+    """
     require_columns(df, K.READING_COLUMNS, "sensor data")
+    if order is None:
+        order = F.struct(*ARRIVAL) if set(ARRIVAL) <= set(df.columns) else F.monotonically_increasing_id()
     return df.select(
         F.col("station_id").cast("string").alias("station_id"),
         _time(df, "timestamp").alias("timestamp"),
         *[parse_numeric(s).alias(s) for s in K.LAKE_SENSORS],
-        (order if order is not None else F.monotonically_increasing_id()).alias("src_ord"),
+        order.alias("src_ord"),
     )
 
 

@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Spark writes milliseconds unless it is told otherwise.
+CSV = {"header": True, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
     """Each non-empty table under `folder/<name>`; returns the names written. An existing run is never overwritten."""
@@ -11,7 +14,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
         if df is None or df.isEmpty():
             continue
         writer = df.write.mode("errorifexists")
-        (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(f"{folder}/{name}")
+        (writer.options(**CSV).csv if fmt == "csv" else writer.parquet)(f"{folder}/{name}")
         written.append(name)
     return written
 

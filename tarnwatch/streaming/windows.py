@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
+from tarnwatch.functions.clock import micros
 
 
 def event_time(df: DataFrame, column: str = "timestamp") -> DataFrame:
-    """Zone-free times as an event-time column (run with the session zone UTC)."""
-    return df.withColumn("ts", F.col(column).cast("timestamp"))
+    """Zone-free times as an event-time column, read as UTC whatever the session's zone."""
+    return df.withColumn("ts", F.timestamp_micros(micros(F.col(column))))
 
 
 def deduplicated(stream: DataFrame, keys, delay: str = "2 hours") -> DataFrame:

@@ -18,7 +18,7 @@ HEADLINE = [
     "a6_parse_numeric", "c5_vendor_normalise", "c15_wqi_and_class", "c22_cpcb_with_coliform", "d1_first_wins_dedupe",
     "d5_scale_check_on_lineitem", "d5_slot_grid", "e1_hourly_mean", "d7_weather_interpolation", "d12_as_of_raw_readings",
     "d13_interval_totals", "e5_robust_std", "e6_scales_two_level", "e8_monthly_bands", "f6_qc_flags", "f7_trailing_median",
-    "f13_reset_capped_ewma", "f15_weather_memory", "g8_incidents", "i6_episode_scores", "c10_air_check", "c21_naqi",
+    "f13_reset_capped_ewma", "f14_drift_level", "f15_weather_memory", "g8_incidents", "i6_episode_scores", "c10_air_check", "c21_naqi",
     "e16_daily_metabolism", "h1_hourly_forecast_rows", "h8_sample_features", "e17_conformal_offsets", "j1_hourly_report",
     "j6_accuracy", "k8_weekly_offsets", "k4_isolation_forest",
 ]

@@ -114,14 +114,18 @@ class SoftSensor:
 def unseen_station_scores(df: DataFrame, target: str, features, name: str, folds: int | None = None, trees: int = 20) -> DataFrame:
     """Accuracy per station of a model trained on other stations only.
 
-    Each station is left out in turn; with `folds` stations are dealt to that many folds in order of their names.
+    Each station is left out in turn; with `folds` stations are dealt to that many folds in order of their names. Rows
+    without a station are one station of their own.
     """
     # One row per station.
     numbered = df.select("station_id").distinct().withColumn("fold", F.row_number().over(Window.orderBy("station_id")) - 1)
     numbered = materialise(numbered, "stations")
     n = min(numbered.count(), folds or numbered.count())
-    rows = df.join(numbered.withColumn("fold", F.col("fold") % n), "station_id").withColumn("_log", F.ln(target))
+    numbered = numbered.select(F.col("station_id").alias("_st"), (F.col("fold") % n).alias("fold"))
+    rows = df.join(numbered, F.col("station_id").eqNullSafe(F.col("_st"))).drop("_st").withColumn("_log", F.ln(target))
     rows = materialise(rows, "unseen")
     estimator = candidates(features, trees=trees)[name]
     held = out_of_fold(rows, estimator.fit, _log_prediction, n).withColumn("estimate", F.exp("log_pred"))
-    return scoring.accuracy(held, ["station_id"], target, "estimate")
+    held = held.withColumn("_unnamed", F.col("station_id").isNull()).fillna("", ["station_id"])
+    out = scoring.accuracy(held, ["station_id", "_unnamed"], target, "estimate")
+    return out.withColumn("station_id", F.when(~F.col("_unnamed"), F.col("station_id"))).drop("_unnamed")

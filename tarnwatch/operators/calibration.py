@@ -7,7 +7,8 @@ from tarnwatch import constants as K
 from tarnwatch.functions.odds import uncrossed, widen
 from tarnwatch.functions.timing import horizon_bucket
 
-from .order_stats import _bin, order_stats
+from .lineage import materialise
+from .order_stats import order_stats
 
 COVERAGE = K.QUANTILES[-1] - K.QUANTILES[0]
 
@@ -107,8 +108,10 @@ def residual_range(residuals: DataFrame, column: str = "residual", coverage: flo
 def share_above(queries: DataFrame, threshold: str, residuals: DataFrame, column: str = "residual", name: str = "p") -> DataFrame:
     """Adds the share of residuals strictly above each row's threshold; NULL for a row without a threshold.
 
-    Rows and residuals are stacked and ranked inside value bins, with the counts of lower bins added, so neither side
-    is collected however many there are.
+    Rows and residuals are stacked and cut into stretches of about equal size along the value: splitters come from both
+    sides, and rows of one value are spread by a number of their own, so a threshold that a third of the rows share is no
+    single task. A residual comes before a row of its value; a row's rank is the count of residuals in the stretches before
+    its own and before it inside.
     """
     row = F.struct(*[F.col(c) for c in queries.columns])
     unasked = queries.filter(F.col(threshold).isNull()).withColumn(name, F.lit(None).cast("double"))
@@ -116,18 +119,14 @@ def share_above(queries: DataFrame, threshold: str, residuals: DataFrame, column
     given = residuals.filter(F.col(column).isNotNull()).select(
         F.col(column).cast("double").alias("_x"), F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_q"].dataType).alias("_q")
     )
-    stacked = given.unionByName(asked).withColumn("_bin", _bin(F.col("_x")))
-    bins = given.groupBy(_bin(F.col("_x")).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    # A few thousand bins at most, whatever the number of residuals.
-    order = Window.partitionBy(F.lit(0)).orderBy("_b")
-    bins = bins.withColumn("_below", F.sum("_n").over(order) - F.col("_n")).withColumn("_next", F.lead("_b").over(order))
-    total = bins.select(F.sum("_n").alias("n")).scalar()
-    inside = Window.partitionBy("_bin").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = stacked.withColumn("_in", F.sum(F.when(F.col("_side") == 0, 1).otherwise(0)).over(inside)).filter("_side = 1")
-    # Bins without residuals take the count below the next one that has some: an as-of lookup over the bin numbers.
-    steps = bins.select(F.col("_b").alias("_bin"), (F.col("_below") + F.col("_n")).alias("_upto"), F.col("_below"))
-    wanted = ranked.select("_bin").distinct().join(steps, "_bin", "full")
-    up = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = wanted.withColumn("_below", F.coalesce("_below", F.last("_upto", ignorenulls=True).over(up), F.lit(0)))
-    out = ranked.join(wanted.select("_bin", "_below"), "_bin")
-    return out.select("_q.*", (F.lit(1.0) - (F.col("_below") + F.col("_in")) / total).alias(name)).unionByName(unasked)
+    stacked = given.unionByName(asked).withColumn("_deal", F.monotonically_increasing_id())
+    cut = stacked.repartitionByRange("_x", "_side", "_deal").withColumn("_part", F.spark_partition_id())
+    cut = materialise(cut, "stretches")  # written, so that the splitters are drawn once
+    parts = cut.groupBy("_part").agg(F.sum(1 - F.col("_side")).alias("_n"))
+    # One row per stretch.
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))
+    total = cut.select(F.sum(1 - F.col("_side"))).scalar()
+    inside = Window.partitionBy("_part").orderBy("_x", "_side", "_deal").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cut.withColumn("_in", F.sum(1 - F.col("_side")).over(inside)).filter("_side = 1").join(parts, "_part")
+    return ranked.select("_q.*", (F.lit(1.0) - (F.col("_below") + F.col("_in")) / total).alias(name)).unionByName(unasked)

@@ -14,7 +14,7 @@ NULL and NaN are missing; rows with a NULL key belong to no group.
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.constants import MAD_TO_STD
@@ -32,7 +32,7 @@ _WIDE = re.compile(r"\b(\w*Join|Aggregate|Window|Sort|Distinct|Deduplicate|Repar
 
 def table_of(df: DataFrame) -> DataFrame:
     """The table itself if reading it again costs a scan, else written once."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    plan = df._jdf.queryExecution().analyzed().toString()
     return materialise(df, "values") if _WIDE.search(plan) else df
 
 
@@ -64,10 +64,25 @@ def _holding(nodes: DataFrame, ranks: dict) -> DataFrame:
     return nodes.filter(F.exists(_wanted(ranks), lambda r: (r["rank"] >= below) & (r["rank"] < upto)))
 
 
-def _per_key(nodes: DataFrame, keys) -> DataFrame:
-    """One written row per group: its count and the nodes to look into, as many as ranks are wanted at most."""
+def _several(node) -> Column:
+    return node["lo"] < node["hi"]
+
+
+def _large(node) -> Column:
+    return _several(node) & (node["w"] > RANKED)
+
+
+def _per_key(nodes: DataFrame, keys) -> tuple[DataFrame, int]:
+    """One written row per group: its count and the nodes to look into, as many as ranks are wanted at most.
+
+    With it the most rows in a node of several values, observed while the rows are written.
+    """
     item = F.struct("lo", "hi", "w", "below")
-    return materialise(nodes.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list(item).alias("nodes")), "nodes")
+    tree = nodes.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list(item).alias("nodes"))
+    widest = Observation()
+    rows = F.transform(F.filter("nodes", _several), lambda t: t["w"])
+    tree = materialise(tree.observe(widest, F.max(F.array_max(rows)).alias("rows")), "nodes")
+    return tree, widest.get["rows"] or 0
 
 
 def _rows_of(values: DataFrame, tree: DataFrame, keys, chosen) -> DataFrame:
@@ -84,28 +99,14 @@ def _ranked(values: DataFrame, keys, ranks: dict, pooled: str | None = None) ->
     """
     nodes = values.groupBy(*keys, _bin(F.col(VALUE)).alias("bin")).agg(*_node())
     if pooled is not None:
-        nodes = materialise(nodes, "bins")
-        others = [k for k in keys if k != pooled]
-        whole = nodes.groupBy(*others, "bin").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        nodes = nodes.unionByName(whole.withColumn(pooled, F.lit(POOLED)))
+        nodes = with_pooled(nodes, pooled).groupBy(*keys, "bin").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         values = with_pooled(values, pooled)
     group = Window.partitionBy(*keys)
     before = group.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     nodes = nodes.withColumns({"n": F.sum("w").over(group), "below": F.coalesce(F.sum("w").over(before), F.lit(0))})
-    tree = _per_key(_holding(nodes, ranks), keys)
-
-    def several(t):
-        return t["lo"] < t["hi"]
-
-    def large(t):
-        return several(t) & (t["w"] > RANKED)
-
-    while True:
-        open_ = F.filter("nodes", several)
-        widest = tree.agg(F.max(F.array_max(F.transform(open_, lambda t: t["w"])))).first()[0] or 0  # one number
-        if widest <= RANKED:
-            break
-        near = _rows_of(values, tree, keys, large)
+    tree, widest = _per_key(_holding(nodes, ranks), keys)
+    while widest > RANKED:
+        near = _rows_of(values, tree, keys, _large)
         # Halves before the difference, so that the extremes of a double do not overflow.
         width = F.col("node.hi") / 2 - F.col("node.lo") / 2
         share = F.try_divide(F.col(VALUE) / 2 - F.col("node.lo") / 2, width)
@@ -113,12 +114,12 @@ def _ranked(values: DataFrame, keys, ranks: dict, pooled: str | None = None) ->
         cut = near.groupBy(*keys, "n", F.col("node.lo").alias("_from"), F.col("node.below").alias("_base"), part.cast("int").alias("part")).agg(*_node())
         before = Window.partitionBy(*keys, "_from").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         cut = cut.withColumn("below", F.col("_base") + F.coalesce(F.sum("w").over(before), F.lit(0)))
-        done = tree.select(*keys, "n", F.inline(F.filter("nodes", lambda t: ~large(t))))
-        tree = _per_key(_holding(cut, ranks).select(*keys, "n", "lo", "hi", "w", "below").unionByName(done), keys)
+        done = tree.select(*keys, "n", F.inline(F.filter("nodes", lambda t: ~_large(t))))
+        tree, widest = _per_key(_holding(cut, ranks).select(*keys, "n", "lo", "hi", "w", "below").unionByName(done), keys)
 
-    found = tree.select(*keys, "n", F.inline(F.filter("nodes", lambda t: ~several(t)))).select(*keys, "n", F.col("lo").alias(VALUE), "w", "below")
+    found = tree.select(*keys, "n", F.inline(F.filter("nodes", lambda t: ~_several(t)))).select(*keys, "n", F.col("lo").alias(VALUE), "w", "below")
     if widest:
-        near = _rows_of(values, tree, keys, several)
+        near = _rows_of(values, tree, keys, _several)
         each = near.groupBy(*keys, "n", F.col("node.lo").alias("_from"), F.col("node.below").alias("_base"), VALUE).agg(F.count(F.lit(1)).alias("w"))
         before = Window.partitionBy(*keys, "_from").orderBy(VALUE).rowsBetween(Window.unboundedPreceding, -1)
         each = each.withColumn("below", F.col("_base") + F.coalesce(F.sum("w").over(before), F.lit(0)))

@@ -1,6 +1,8 @@
 """The daily run: readings in, flags, forecasts, estimates, alerts and a report out."""
 
-from pyspark.sql import DataFrame
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
@@ -11,11 +13,12 @@ from tarnwatch.operators import forecast_features as ff
 from tarnwatch.operators import grid as grids
 from tarnwatch.operators.lineage import materialise
 from tarnwatch.operators.recent import recent
-from tarnwatch.sources import sinks, vendor
+from tarnwatch.sources import readers, sinks, vendor
+from tarnwatch.streaming import intake
 
 from .training import Models, complete_hours, soft_rows
 
-__all__ = ["daily_run", "write_run"]
+__all__ = ["daily_run", "inbox_run", "write_run"]
 
 
 def _estimates(models: Models, target: str, hourly: DataFrame, weather: DataFrame | None) -> DataFrame | None:
@@ -105,6 +108,22 @@ def daily_run(export: DataFrame, mapping: vendor.VendorMapping, models: Models,
     return out
 
 
+def inbox_run(spark: SparkSession, inbox: str, log: str, checkpoint: str, mapping: vendor.VendorMapping, models: Models,
+              weather_raw: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """Take the waiting exports of a folder into the history log, then run on the log's last days.
+
+    Only folders of days that the run can need are read: the newest day less `RECENT_DAYS`, and two days more, as a
+    vendor's local day may lie beside ours. Days that several drops wrote to are compacted afterwards by `compact_days`.
+    """
+    station, stamp = mapping.columns["station_id"], mapping.columns["timestamp"]
+    waiting = intake.inbox_stream(spark, inbox, list(mapping.columns.values()))
+    intake.take_in(waiting, stamp, log, checkpoint).awaitTermination()
+    newest = intake.last_day(spark, log)
+    since = str(newest - datetime.timedelta(days=K.RECENT_DAYS + 2)) if newest else None
+    export = intake.history(spark, log, station, stamp, since).withColumn("src_ord", F.struct("_batch", *readers.ARRIVAL))
+    return daily_run(export, mapping, models, weather_raw, **options)
+
+
 def write_run(result: dict[str, DataFrame], folder: str) -> list[str]:
     """The run's folder: result tables, one JSON section per station, ordered alerts, and the text report."""
     tables = {k: v for k, v in result.items() if k in ("flags", "incidents", "hourly", "nightly", "bod", "algae", "coliform")}

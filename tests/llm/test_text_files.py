@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import json
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -184,6 +186,70 @@ def test_rewrite_to_fewer_shards(spark, tmp_path):
     assert {p.name for p in (tmp_path / "shards").glob("shard=*")} == {f"shard={k}" for k in range(12)}
 
 
+def layout_files(folder):
+    """Data files of the newest snapshot by shard, with name and modification time."""
+    out = defaultdict(set)
+    for write, value in json.loads(sorted((folder / "_log").glob("*.json"))[-1].read_text())["entries"]:
+        for p in (folder / "data" / f"_write={write}" / f"__shard={value}").glob("*.parquet"):
+            out[int(value)].add((str(p), p.stat().st_mtime_ns))
+    return out
+
+
+def test_resharding_rewrites_touched_files_only(spark, tmp_path, monkeypatch):
+    # Shards of 600, 200 and 400 documents of 10 bytes: 200 go from the first to the second, the third is even.
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(9)).alias("text"), F.lit("kept").alias("Shard"), F.col("id").alias("slot"))
+    uneven = F.when(F.col("doc_id") < 600, 0).when(F.col("doc_id") < 800, 1).otherwise(2)
+    folder = tmp_path / "layout"
+    reshard.write_layout(docs.withColumnsRenamed(reshard._given(docs)), uneven, str(folder))
+    old = layout_files(folder)
+    assert reshard.rewrite_layout(spark, str(folder), 3) == [0, 1]
+    new = layout_files(folder)
+    assert new[2] == old[2] and not new[0] & old[0] and not new[1] & old[1]
+    rows = reshard.read_layout(spark, str(folder)).collect()
+    assert Counter(r["shard"] for r in rows) == {0: 400, 1: 400, 2: 400} and len({r["doc_id"] for r in rows}) == 1200
+    assert all(r["Shard_given"] == "kept" and r["slot_given"] == r["doc_id"] and r["size"] == 10 for r in rows)
+    assert sum(r["shard"] != r["old_shard"] for r in rows) == 200 and {(r["old_shard"], r["shard"]) for r in rows} == {(0, 0), (0, 1), (1, 1), (2, 2)}
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(400)) for k in range(3))
+    # Even shards stay as they are; a driver lost before its manifest leaves the layout whole.
+    assert reshard.rewrite_layout(spark, str(folder), 3) == [] and layout_files(folder) == new
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(reshard.snapshots, "_renamed", killed)
+        with pytest.raises(KeyboardInterrupt):
+            reshard.rewrite_layout(spark, str(folder), 5)
+    assert layout_files(folder) == new and reshard.read_layout(spark, str(folder)).count() == 1200
+
+
+def test_resharding_through_files_matches_the_plan(spark, tmp_path):
+    """Rows, sizes and moved bytes of the plan that `reshard` makes in memory, for more and for fewer shards."""
+    more = [(9000 + i, "y" * (i % 37) * 5) for i in range(400)] + [(9999, "y" * 200_000), (9000, "")]
+    rows = corpus() + [(d, t, "en", "s0", 1, "x", "y") for d, t in more]
+    docs = frame(spark, rows)
+    for old, shards in ((reshard.hashed_layout(5), 8), (F.pmod(F.xxhash64("text"), F.lit(7)), 3)):
+        got = reshard.reshard_files(docs, old, shards).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows)
+        slots, before, after = defaultdict(list), Counter(), Counter()
+        for r in got:
+            assert r["size"] == len((r["text"] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((r["text"] or "").encode())
+            slots[r["shard"]].append(r["slot"])
+            before[r["old_shard"]] += r["size"]
+            after[r["shard"]] += r["size"]
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+        plan = reshard.reshard(docs, old, shards).collect()
+        moved = lambda rs: sum(r["size"] for r in rs if r["shard"] != r["old_shard"])
+        assert Counter(r["old_shard"] for r in plan) == Counter(r["old_shard"] for r in got)
+        assert abs(moved(plan) - moved(got)) <= 2 * shards * max(r["size"] for r in got if r["size"] < 200_000)
+        planned = Counter()
+        for r in plan:
+            planned[r["shard"]] += r["size"]
+        assert all(abs(planned[k] - after[k]) <= 2 * max(r["size"] for r in got if r["size"] < 200_000) for k in range(shards))
+    assert reshard.reshard_files(empty(spark), reshard.hashed_layout()).count() == 0
+    assert [c for c in reshard.reshard_files(docs, reshard.hashed_layout(), keep=["doc_id"]).columns] == ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+
+
 def check_languages(before, after):
     """Only whole rows go: those without letters, and next to no others."""
     gone = Counter(before) - Counter(after)

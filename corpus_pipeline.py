@@ -56,12 +56,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in 16 shards of near equal bytes, from 12 shards by text with the fewest bytes moved.
+    """The mix in 16 shards of near equal bytes, from 12 shards by text with the fewest bytes moved, read from the shards' files.
 
     NULL texts weigh one byte. Columns named like one of the shard's own come back as `<name>_given`. Repeated rows take
     slots of their own; an empty table gives no rows.
     """
-    return reshard.reshard(docs, reshard.hashed_layout())
+    return reshard.reshard_files(docs, reshard.hashed_layout())
 
 
 STAGES = [

@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwatch.sources import snapshots
+from tarnwatch.operators import grid
+from tarnwatch.plans import daily
+from tarnwatch.sources import snapshots, vendor
 from tarnwatch.streaming import intake
 
 
@@ -126,3 +128,26 @@ def test_history_survives_a_killed_compaction(spark, tmp_path, monkeypatch):
     # A copy that arrives after the compaction still wins.
     take("c.csv", "Device,Time,x\nd,2024-01-01 00:10,5\n")
     assert now() == {**want, "2024-01-01 00:10": "5"}
+
+
+def test_a_run_from_the_inbox_reads_the_last_days_of_the_log(spark, tmp_path, monkeypatch):
+    """Two drops, the second with newer copies: what reaches the daily run, and the slots its first step makes of it."""
+    inbox, given = tmp_path / "inbox", []
+    inbox.mkdir()
+    monkeypatch.setattr(daily, "daily_run", lambda export, mapping, models, weather, **options: given.append((export, options)) or {})
+    names = {"station_id": "Device", "timestamp": "Time", "temperature": "T", "ph": "P", "turbidity": "N", "dissolved_oxygen": "O"}
+    mapping = vendor.VendorMapping(columns=names)
+
+    def drop(name, rows):
+        lines = [",".join(names.values()), *(f"{d},{t},{x},7.5,3,8" for d, t, x in rows)]
+        (inbox / name).write_text("\n".join(lines) + "\n")
+        daily.inbox_run(spark, str(inbox), str(tmp_path / "log"), str(tmp_path / "cp"), mapping, None, window_hours=6)
+
+    drop("a.csv", [("n", "2023-01-01 00:00", 1), ("n", "2024-01-01 00:00", 2), ("n", "2024-01-01 00:01", 3)])
+    drop("b.csv", [("n", "2024-01-01 00:00", 4), ("n", "2024-02-10 00:00", 5)])
+    export, options = given[-1]
+    assert options == {"window_hours": 6} and {(r["Time"], r["T"]) for r in export.collect()} == {("2024-01-01 00:00", "4"), ("2024-01-01 00:01", "3"), ("2024-02-10 00:00", "5")}
+    assert not [f for f in export.inputFiles() if "2023-01-01" in f]
+    slots = grid.slot_grid(vendor.normalise(export, mapping)).filter("temperature IS NOT NULL").collect()
+    # 00:00 came last as a newer copy, so the reading of 00:01 arrived first in its slot.
+    assert sorted(r["temperature"] for r in slots) == [3.0, 5.0]

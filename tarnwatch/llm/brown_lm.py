@@ -4,13 +4,15 @@ Words are lower-cased (A-Z); every text ends with one end sign, which is a token
 
     P(word | word before) = P(class | class before) * P(word | class)
 
-Vocabulary. All words of the training texts are counted. Clustering moves *units*: every word with at least 1 in 2^15 of
-all tokens is a unit of its own, and the others move together with the words of the same ending (`ENDINGS` groups), so
-every word, seen or not, has a class. The number of units is bounded by these two numbers whatever the corpus.
+Vocabulary. All words of the training texts are counted. Clustering moves *units*: every word seen at least `LEAST` times
+is a unit of its own, and rarer words move together with the words of the same ending (`ENDINGS` groups), so every word,
+seen or not, has a class. Units are told to all tasks, so a word must also have 1 in 2^20 of all tokens (`KNOWN_SHARE`):
+that bounds what is sent to 2^20 words, and binds from 5 million tokens on.
 
-Exchange. In every round each unit is tried in every class, all others staying: the change of the class-bigram
-log-likelihood is exact for its counts of classes before and after. Spark adds up these counts over all training
-tokens; units move by halves, and a round that does not improve the likelihood is taken back and ends the search.
+Exchange. In every round half of the units are tried in every class, all others staying: the change of the class-bigram
+log-likelihood is exact for a unit's counts of classes before and after. Spark adds up these counts, kept as sparse
+(unit, side, class) entries in blocks of units; a round that does not improve the likelihood is taken back and ends the
+search.
 
 Probabilities. Transitions are smoothed towards the class's share. A word has (count + 1) of its class's
 tokens + words + 1, which leaves one share to words that were never seen.
@@ -31,16 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, bucket_bits, by_bucket, crc32_of_id, joined, keyed_blocks, load, materialise, mix, prepare, row_chunks, string_buffers, text_bytes
+from .common import U64, Words, bucket_bits, by_bucket, crc32_of_id, joined, keyed_blocks, load, materialise, mix, prepare, row_chunks, string_buffers, text_bytes, tidied
 from .registry import register
 
 CLASSES = 64
 ENDINGS = 1024
-UNIT_SHARE, KNOWN_SHARE = 2**-15, 2**-20
+LEAST, KNOWN_SHARE = 5, 2**-20
 ROUNDS = 5
-UNIT_BLOCKS = 16
+BLOCK_UNITS = 4096
+HELD = 2_000_000  # entries that a task holds before it hands them on
 CHUNK = 6 << 20
-LAST = np.iinfo(np.int64).max  # stands for a NULL doc_id
 END, END_CLASS = 0, 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,6 +70,11 @@ class Vocabulary:
     types: int
     texts: int
 
+    def clustered(self) -> tuple[float, float]:
+        """Shares of the different words and of all words' tokens that are units of their own."""
+        own = self.units > 0
+        return float(own.sum() / max(1, self.types - (self.texts > 0))), float(self.counts[own].sum() / max(1, self.tokens - self.texts))
+
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the tables, whether the word is there) of each hash."""
         if not len(self.keys):
@@ -130,9 +137,9 @@ def vocabulary(counted: DataFrame, texts: int) -> Vocabulary:
     counts = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows] or [np.zeros(0, np.int64)])
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    own = np.flatnonzero(counts >= total * UNIT_SHARE)
+    own = np.flatnonzero(counts >= LEAST)
     own = own[np.argsort(-counts[own], kind="stable")]  # the most frequent word is unit 1
-    units = np.zeros(len(keys), np.int64)
+    units = np.zeros(len(keys), np.int32)
     units[own] = np.arange(1, len(own) + 1)
     return Vocabulary(keys, counts, units, 1 + len(own) + ENDINGS, total, types + (texts > 0), texts)
 
@@ -155,61 +162,104 @@ def unit_stream(train: DataFrame, vocab) -> DataFrame:
     return materialise(train.select("text").mapInArrow(run, "units binary"), "units")
 
 
-def _context_counts(classes, n_units: int):
-    """Counts of the classes after and before every unit, added up in the task and cut into blocks of units."""
+def _added_entries(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with their counts added up."""
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
 
-    def run(batches):
-        of = classes.value
-        kind = np.uint16 if n_units < 65536 else np.uint32
-        after = np.zeros(n_units * CLASSES, np.int64)
-        before = np.zeros(n_units * CLASSES, np.int64)
-        some = False
-        for batch in batches:
-            for raw in batch.column("units").to_pylist():
-                u = np.frombuffer(raw, kind).astype(np.int64)
-                c = of[u]
-                after += np.bincount(u[:-1] * CLASSES + c[1:], minlength=len(after))
-                before += np.bincount(u[1:] * CLASSES + c[:-1], minlength=len(before))
-                some = True
-        if some:
-            step = -(-n_units // UNIT_BLOCKS) * CLASSES
-            narrow = np.uint32 if max(after.max(), before.max()) < 2**32 else np.int64
-            rows = [(b, after[b * step : (b + 1) * step].astype(narrow).tobytes(), before[b * step : (b + 1) * step].astype(narrow).tobytes(), narrow().itemsize) for b in range(UNIT_BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)], pa.array([r[3] for r in rows], pa.int32())], names=["block", "after", "before", "width"])
 
-    return run
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
 
 
-def _summed(classes):
-    """A block's counts of all tasks, added one by one; also the block's share of the class bigrams."""
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
 
-    def out(block, after, before):
-        of = classes.value
-        start = int(block) * (-(-len(of) // UNIT_BLOCKS))  # the last blocks may be shorter
-        own = of[start : start + len(after) // CLASSES]
-        bigrams = np.zeros((CLASSES, CLASSES))
-        np.add.at(bigrams, own, after.reshape(-1, CLASSES))
-        return pa.RecordBatch.from_arrays([pa.array([int(block)], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (after, before, bigrams)]], names=["block", "after", "before", "bigrams"])
+
+ENTRIES = "block int, n int, gaps binary, counts binary, bigrams binary"
+
+
+def _entry_rows(keys: np.ndarray, counts: np.ndarray):
+    """Entries cut by block of units: gaps between keys and counts, in as few bytes as they need."""
+    step = BLOCK_UNITS * 2 * CLASSES
+    cuts = [0, *(np.flatnonzero(np.diff(keys // step)) + 1), len(keys)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi > lo:
+            block = int(keys[lo] // step)
+            yield _entry_row(block, hi - lo, _narrow(np.diff(keys[lo:hi].astype(np.int64), prepend=block * step)), _narrow(counts[lo:hi]), None)
+
+
+def _entry_row(block, n, gaps, counts, bigrams):
+    columns = [pa.array([block], pa.int32()), pa.array([n], pa.int32()), *[pa.array([x], pa.binary()) for x in (gaps, counts, bigrams)]]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "n", "gaps", "counts", "bigrams"])
+
+
+def _context_counts(classes, n_units: int, turn: int):
+    """Entries of the units whose turn it is, and the class bigrams of all tokens as block -1.
+
+    An entry's key is (2 * unit + side) * CLASSES + class; side 0 counts the classes after a unit, side 1 those before.
+    """
 
     def run(batches):
-        now = after = before = None
+        of = classes.value
+        kind = np.uint16 if n_units < 65536 else np.uint32
+        bigrams = np.zeros(CLASSES * CLASSES, np.int64)
+        keys, counts, held = [], [], 0
         for batch in batches:
-            for block, a, b, width in zip(*[batch.column(c).to_pylist() for c in ("block", "after", "before", "width")]):
-                kind = np.uint32 if width == 4 else np.int64
-                if block != now:
-                    if now is not None:
-                        yield out(now, after, before)
-                    now, after, before = block, 0, 0
-                after = after + np.frombuffer(a, kind).astype(np.int64)
-                before = before + np.frombuffer(b, kind).astype(np.int64)
-        if now is not None:
-            yield out(now, after, before)
+            for raw in batch.column("units").to_pylist():
+                u = np.frombuffer(raw, kind)
+                c = of[u].astype(np.uint32)
+                bigrams += np.bincount(c[:-1] * CLASSES + c[1:], minlength=len(bigrams))
+                first = u.astype(np.uint32) * np.uint32(2 * CLASSES)
+                moving = (u % 2 == turn % 2) & (u != END)
+                found = np.concatenate(((first[:-1] + c[1:])[moving[:-1]], (first[1:] + c[:-1] + np.uint32(CLASSES))[moving[1:]]))
+                some, times = np.unique(found, return_counts=True)
+                keys.append(some)
+                counts.append(times)
+                held += len(some)
+                if held > HELD:
+                    some, times = _added_entries(keys, counts)
+                    keys, counts, held = [some], [times], len(some)
+                    if held > HELD // 2:
+                        yield from _entry_rows(some, times)
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield from _entry_rows(*_added_entries(keys, counts))
+        yield _entry_row(-1, 0, None, None, bigrams.tobytes())
 
     return run
 
 
+def _summed(batches):
+    """One row per block with the entries of all tasks; a block's entries have bounded room whatever comes in."""
+    size = BLOCK_UNITS * 2 * CLASSES
+
+    def out(block, total):
+        if block < 0:
+            return _entry_row(-1, 0, None, None, total.tobytes())
+        keys = np.flatnonzero(total)
+        return _entry_row(block, len(keys), _narrow(np.diff(keys, prepend=0)), _narrow(total[keys]), None)
+
+    now = total = None
+    for batch in batches:
+        for block, n, gaps, counts, bigrams in zip(*[batch.column(c).to_pylist() for c in ("block", "n", "gaps", "counts", "bigrams")]):
+            if block != now:
+                if now is not None:
+                    yield out(now, total)
+                now, total = block, np.zeros(size if block >= 0 else CLASSES * CLASSES, np.int64)
+            if block < 0:
+                total += np.frombuffer(bigrams, np.int64)
+            else:
+                total[np.cumsum(_wide(gaps, n))] += _wide(counts, n)  # keys of one row differ
+    if now is not None:
+        yield out(now, total)
+
+
 def _phi(x):
-    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    return x * np.log(np.maximum(x, 1))
 
 
 def likelihood(bigrams: np.ndarray) -> float:
@@ -217,35 +267,58 @@ def likelihood(bigrams: np.ndarray) -> float:
     return float(_phi(bigrams).sum() - _phi(bigrams.sum(0)).sum() - _phi(bigrams.sum(1)).sum())
 
 
-def _best_classes(classes, bigrams: np.ndarray, turn: int):
-    """New class of every unit of a block whose turn it is: the largest gain of moving it out of and into a class."""
+def best_classes(own: np.ndarray, keys: np.ndarray, counts: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """Class of largest gain of each unit that has entries; the others keep theirs.
+
+    `own` are the units' classes, `keys` are sorted and numbered from the first of these units.
+    """
+    counts = counts.astype(float)
+    unit, side, other = keys // (2 * CLASSES), keys // CLASSES % 2, keys % CLASSES
+    dense = np.zeros((len(own), 2, CLASSES))
+    dense.reshape(-1)[keys] = counts
+    gain = np.zeros((len(own), CLASSES))
+    for which, cells in ((0, bigrams.T), (1, bigrams)):
+        at = side == which
+        u, c, n = unit[at], other[at], counts[at]
+        if not len(u):
+            continue
+        line, mine = np.arange(len(u)), own[u]
+        # Cells that meet the entry's class, one per class the unit may go to, without the unit itself.
+        without = cells[c]
+        without[line, mine] -= n
+        same = c == mine
+        without[same] -= dense[u[same], 1 - which]
+        np.maximum(without, 0, out=without)
+        before = _phi(cells)[c]
+        before[line, mine] = _phi(without[line, mine])
+        before[same] = _phi(without[same])
+        starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        gain[u[starts]] += np.add.reduceat(_phi(without + n[:, None]) - before, starts, axis=0)
+    all_units = np.arange(len(own))
+    for which, sums in ((0, bigrams.sum(1)), (1, bigrams.sum(0))):
+        n = dense[:, which].sum(1)
+        without = np.tile(sums, (len(own), 1))
+        without[all_units, own] -= n
+        gain -= _phi(without + n[:, None]) - _phi(without)
+    gain[:, END_CLASS] = -np.inf  # the end sign keeps a class of its own
+    return np.where(dense.any(axis=(1, 2)), gain.argmax(1), own)
+
+
+def _moves(classes, bigrams: np.ndarray, step: int = 256):
+    """New classes of a block's units, `step` units at a time."""
 
     def run(batches):
         of = classes.value
-        rows, cols = bigrams.sum(1), bigrams.sum(0)
         for batch in batches:
-            for block, a, b in zip(*[batch.column(c).to_pylist() for c in ("block", "after", "before")]):
-                after, before = (np.frombuffer(x, np.int64).reshape(-1, CLASSES).astype(float) for x in (a, b))
-                start = int(block) * (-(-len(of) // UNIT_BLOCKS))
-                new = of[start : start + len(after)].copy()
-                for i in range(len(after)):
-                    unit = start + i
-                    n, m = after[i].sum(), before[i].sum()
-                    if unit == END or n + m == 0 or (unit + turn) % 2:
-                        continue
-                    own = new[i]
-                    grid = bigrams.copy()
-                    grid[own] -= after[i]
-                    grid[:, own] -= before[i]
-                    np.maximum(grid, 0, out=grid)
-                    r, c = rows.copy(), cols.copy()
-                    r[own] -= n
-                    c[own] -= m
-                    gain = (_phi(grid + after[i]) - _phi(grid)).sum(1) + (_phi(grid + before[i][:, None]) - _phi(grid)).sum(0)
-                    gain -= _phi(r + n) - _phi(r) + _phi(c + m) - _phi(c)
-                    gain[END_CLASS] = -np.inf  # the end sign keeps a class of its own
-                    new[i] = int(np.argmax(gain))
-                yield pa.RecordBatch.from_arrays([pa.array([int(block)], pa.int32()), pa.array([new.astype(np.int32).tobytes()], pa.binary())], names=["block", "classes"])
+            for block, n, gaps, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "n", "gaps", "counts")]):
+                start = block * BLOCK_UNITS
+                own = of[start : start + BLOCK_UNITS].astype(np.int64)
+                keys, counts = np.cumsum(_wide(gaps, n)), _wide(counts, n)
+                new = []
+                for lo in range(0, len(own), step):
+                    a, b = np.searchsorted(keys, (lo * 2 * CLASSES, (lo + step) * 2 * CLASSES))
+                    new.append(best_classes(own[lo : lo + step], keys[a:b] - lo * 2 * CLASSES, counts[a:b], bigrams))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.concatenate(new).astype(np.uint8).tobytes()], pa.binary())], names=["block", "classes"])
 
     return run
 
@@ -254,25 +327,26 @@ def exchange(stream: DataFrame, n_units: int, rounds: int = ROUNDS) -> tuple[np.
     """(class of each unit, class bigrams, likelihoods of the rounds)."""
     sc = stream.sparkSession.sparkContext
     # The end sign has class 0; units start by rank, frequent words apart.
-    classes = 1 + (np.arange(n_units, dtype=np.int64) - 1) % (CLASSES - 1)
+    classes = (1 + (np.arange(n_units) - 1) % (CLASSES - 1)).astype(np.uint8)
     classes[END] = END_CLASS
     best, history = None, []
     for turn in range(rounds + 1):
         shared = sc.broadcast(classes)
-        parts = stream.mapInArrow(_context_counts(shared, n_units), "block int, after binary, before binary, width int")
-        table = materialise(by_bucket(parts, "block").mapInArrow(_summed(shared), "block int, after binary, before binary, bigrams binary"), "contexts")
-        bigrams = sum((np.frombuffer(r[0]).reshape(CLASSES, CLASSES) for r in table.select("bigrams").collect()), np.zeros((CLASSES, CLASSES)))  # one per block
+        parts = stream.mapInArrow(tidied(_context_counts(shared, n_units, turn)), ENTRIES)
+        table = materialise(by_bucket(parts, "block").mapInArrow(tidied(_summed), ENTRIES), "contexts")
+        found = table.filter("block < 0").select("bigrams").first()
+        bigrams = (np.frombuffer(found[0], np.int64) if found else np.zeros(CLASSES * CLASSES)).astype(float).reshape(CLASSES, CLASSES)
         history.append(likelihood(bigrams))
         if best is not None and history[-1] <= best[2]:
             break
         best = (classes, bigrams, history[-1])
         if turn == rounds:
             break
-        moved = table.select("block", "after", "before").mapInArrow(_best_classes(shared, bigrams, turn), "block int, classes binary").collect()  # a number per unit
-        classes = np.concatenate([np.frombuffer(r[1], np.int32) for r in sorted(moved, key=lambda r: r[0])] or [classes]).astype(np.int64)
-        if len(classes) != n_units:  # no training text
-            break
-    return best[0], best[1], history
+        moved = table.filter("block >= 0").mapInArrow(tidied(_moves(shared, bigrams)), "block int, classes binary").collect()  # a byte per unit, 2^20 at most
+        classes = classes.copy()
+        for block, new in moved:
+            classes[block * BLOCK_UNITS :][: len(new)] = np.frombuffer(new, np.uint8)
+    return best[0].astype(np.int64), best[1], history
 
 
 @dataclass
@@ -292,19 +366,21 @@ def learn(train: DataFrame) -> BrownModel:
     bits = bucket_bits(text_bytes(train), per_bucket=64 << 20, least=4)
     counted = count_words(train, bits)
     vocab = vocabulary(counted, train.count())
-    stream = unit_stream(train, spark.sparkContext.broadcast(vocab))
+    told = spark.sparkContext.broadcast(vocab)
+    stream = unit_stream(train, told)
     classes, bigrams, _ = exchange(stream, vocab.n_units)
     share = (bigrams.sum(0) + 1) / (bigrams.sum() + CLASSES)
     transition = (bigrams + share) / (bigrams.sum(1, keepdims=True) + 1)
     # Tokens and different words of each class: own units from the vocabulary, the others by ending.
     own = vocab.units > 0
-    mine = np.sort(vocab.keys[own])
 
     def by_ending(batches):
         for batch in batches:
             for keys, counts, groups in zip(*[batch.column(c).to_pylist() for c in ("keys", "counts", "groups")]):
                 keys, counts, groups = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64), np.frombuffer(groups, np.uint16)
-                rest = ~np.isin(keys, mine)
+                at, known = told.value.look(keys)
+                rest = ~known
+                rest[known] = told.value.units[at[known]] == 0
                 t, n = np.bincount(groups[rest], counts[rest], ENDINGS), np.bincount(groups[rest], minlength=ENDINGS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDINGS)), pa.array(t.astype(np.int64)), pa.array(n)], names=["ending", "tokens", "types"])
 
@@ -418,7 +494,9 @@ def score(docs: DataFrame, model: BrownModel) -> DataFrame:
     """(doc_id, text_key, n_tokens, n_known, base, score) per row: log10 probabilities by unigram counts and by the model."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    # The last bit of the key says that the id is NULL.
+    text_key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(-2)).bitwiseOR(F.isnull("doc_id").cast("long"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), text_key.alias("text_key"), "text")
     shared = spark.sparkContext.broadcast((model.vocab, model.classes, model.transition, model.room))
     sides = rows.mapInArrow(_known_part(shared), SIDES)
     posted = rows.mapInArrow(_rare_words(shared, model.bits), POSTED)
@@ -432,7 +510,7 @@ def score(docs: DataFrame, model: BrownModel) -> DataFrame:
     more, seen = F.coalesce(F.col("_log") / F.col("_copies"), F.lit(0.0)), F.coalesce(F.expr("_known div _copies"), F.lit(0))
     out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select(
-        F.nullif("doc_id", F.lit(int(LAST))).alias("doc_id"), "text_key", "n_tokens", (F.col("n_known") + seen).alias("n_known"), (F.col("base") + more).alias("base"), (F.col("score") + more).alias("score"))
+        F.when(F.col("text_key") % 2 == 0, F.col("doc_id")).alias("doc_id"), "text_key", "n_tokens", (F.col("n_known") + seen).alias("n_known"), (F.col("base") + more).alias("base"), (F.col("score") + more).alias("score"))
 
 
 def held_out():

@@ -7,8 +7,10 @@ model is stored as sorted arrays of n-gram hashes with their discounted probabil
 interpolation weights. The language with the lowest cross-entropy per sign is predicted.
 
 Score: a softmax over the languages' cross-entropies at a temperature fitted on texts left out of training. Rejection:
-a text without letters, or whose cross-entropy under the best language lies further above that language's mean than any
-text left out of training, by `MARGIN`, in units of the spread expected at its length.
+a text without letters, or whose cross-entropy under the best language lies more than `LIMIT` spreads above that
+language's median. The spread is a robust one (median distances of texts left out of training, between texts and per
+sign), so a few mislabelled texts do not widen it; a language with under `FEW` such texts takes the spread of all, and
+its median too if it has none. Where no text at all was left out, only texts without letters are rejected.
 
 Counting and scoring run in Spark tasks. Training uses about `SAMPLE` whole texts per language at most, chosen by a hash
 of doc_id (a documented bound); n-grams are counted in Spark. The models are broadcast: their size is bounded by the
@@ -34,7 +36,8 @@ from .registry import register
 ORDER = 5
 SAMPLE = 400
 STRETCH = 1 << 18  # bytes of text scored at once
-MARGIN = 1.5
+LIMIT = 12.0
+FEW = 5
 KEPT = 1_000_000  # n-grams whose scores a task keeps
 SIGN = 32  # code of everything that is no letter
 _LETTERS: list = []
@@ -271,15 +274,20 @@ def calibrate(model: LanguageModels, left_out) -> None:
         return -(z[np.arange(len(z)), right] - np.log(np.exp(z).sum(axis=1))).mean() + 1e-3 * math.log(t) ** 2
 
     model.temperature = float(min(2.0 ** np.arange(-2, 7, 0.5), key=loss))
+    own = h[np.arange(len(h)), right]
+    medians = {i: float(np.median(own[right == i])) for i in set(right)}
+    apart = own - np.array([medians[i] for i in right])
     for i, lang in enumerate(names):
-        own = right == i
-        if own.sum() < 5:
-            continue
-        mean = float(np.median(h[own, i]))
-        apart = (h[own, i] - mean) ** 2
-        between, sign = float(np.mean(apart)) + 1e-6, float(np.mean(apart * n[own])) + 1e-6
-        worst = float(np.max((h[own, i] - mean) / np.sqrt(between + sign / n[own])))
-        model.typical[lang] = (mean, between, sign, MARGIN * max(4.0, worst))
+        some = right == i
+        mean = medians[i] if i in medians else float(np.median(list(medians.values())))
+        some = some if some.sum() >= FEW else np.ones(len(h), bool)
+        between, sign = (_spread(d) ** 2 + 1e-6 for d in (apart[some], apart[some] * np.sqrt(n[some])))
+        model.typical[lang] = (mean, between, sign, LIMIT)
+
+
+def _spread(distances: np.ndarray) -> float:
+    """Standard deviation of a normal distribution with this median distance."""
+    return 1.4826 * float(np.median(np.abs(distances)))
 
 
 def _raw(docs: DataFrame, model: LanguageModels, keep: list[str]) -> DataFrame:

@@ -42,6 +42,93 @@ def test_exchange_finds_alternating_classes(spark):
     assert sum(r["score"] for r in out) > 0.85 * sum(r["base"] for r in out)
 
 
+def best_by_recount(units, classes, unit):
+    """Class of largest likelihood for a unit, from class bigrams counted anew for every class."""
+    found = []
+    for c in range(1, brown_lm.CLASSES):
+        of = classes.copy()
+        of[unit] = c
+        bigrams = np.zeros((brown_lm.CLASSES, brown_lm.CLASSES))
+        np.add.at(bigrams, (of[units[:-1]], of[units[1:]]), 1)
+        found.append(brown_lm.likelihood(bigrams))
+    return found
+
+
+def test_exchange_step_matches_recount():
+    rng = np.random.default_rng(3)
+    n = 40
+    units = np.concatenate(([0], rng.zipf(1.3, 4000) % n, [0]))
+    units = units[np.r_[True, units[1:] != units[:-1]]]  # a unit beside itself is moved as if its neighbour stayed
+    classes = np.r_[0, rng.integers(1, 9, n - 1)]
+    bigrams = np.zeros((brown_lm.CLASSES, brown_lm.CLASSES))
+    np.add.at(bigrams, (classes[units[:-1]], classes[units[1:]]), 1)
+    after = (2 * units[:-1]) * brown_lm.CLASSES + classes[units[1:]]
+    before = (2 * units[1:] + 1) * brown_lm.CLASSES + classes[units[:-1]]
+    keys, counts = np.unique(np.concatenate((after, before)), return_counts=True)
+    got = brown_lm.best_classes(np.r_[classes, 5], keys, counts, bigrams)
+    assert got[n] == 5  # no entries: it stays
+    for unit in range(1, n):
+        if not (units == unit).any():
+            continue
+        found = best_by_recount(units, classes, unit)
+        assert math.isclose(found[got[unit] - 1], max(found), rel_tol=1e-12)
+
+
+def test_entries_of_tasks_add_up():
+    rng = np.random.default_rng(4)
+    step = brown_lm.BLOCK_UNITS * 2 * brown_lm.CLASSES
+    keys = rng.integers(0, 3 * step, 5000)
+    counts = rng.integers(1, 70_000, 5000)
+    rows = [r for part in range(4) for r in brown_lm._entry_rows(*brown_lm._added_entries([keys[part::4]], [counts[part::4]]))]
+    rows.sort(key=lambda r: r.column("block")[0].as_py())
+    want = np.bincount(keys, counts, 3 * step)
+    for r in brown_lm._summed(iter(rows)):
+        block, n, gaps, times, _ = (r.column(i)[0].as_py() for i in range(5))
+        at = np.cumsum(brown_lm._wide(gaps, n)) + block * step
+        assert (want[at] == brown_lm._wide(times, n)).all()
+        want[at] = 0
+    assert not want.any()
+
+
+def test_every_word_seen_five_times_is_a_unit(spark):
+    rng = random.Random(6)
+    often, seldom = [f"w{i}" for i in range(300)], [f"r{i}" for i in range(400)]
+    texts = [" ".join([*rng.sample(often, 60), *seldom[4 * i % 400 :][:4]]) for i in range(200)]
+    rows = [(i, x, None, None, None, None, None) for i, x in enumerate(texts)] + [(None, "w1 w2", *[None] * 5), (2**63 - 1, "w1 w2", *[None] * 5)]
+    docs = frame(spark, rows)
+    model = brown_lm.learn(docs)
+    counts = Counter(w for r in rows for w in r[1].split())
+    units = [w for w, n in counts.items() if n >= brown_lm.LEAST]
+    assert int((model.vocab.units > 0).sum()) == len(units) and {f"w{i}" for i in range(300)} <= set(units)
+    types, tokens = model.vocab.clustered()
+    assert math.isclose(types, len(units) / len(counts)) and math.isclose(tokens, sum(counts[w] for w in units) / sum(counts.values()))
+    out = brown_lm.score(docs, model).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
+    assert len({r["score"] for r in out if r["doc_id"] in (None, 2**63 - 1)}) == 1
+
+
+def test_limits_of_rejection_hold_against_wrong_labels(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    tables = {"aa": None, "bb": None, "cc": None, "dd": None}
+
+    def left_out(wrong):
+        rows = [(x, int(n), [b if k == i else b + 3 for k in range(4)]) for i, x in enumerate(("aa", "bb")) for n, b in zip(rng.integers(50, 3000, 80), 2 + i + 0.05 * rng.standard_normal(80))]
+        rows += [("aa", 800, [9.0, 2.0, 9.0, 9.0])] * wrong + [("cc", 500, [9.0, 9.0, 4.0, 9.0])] * 2
+        return pd.DataFrame(rows, columns=["lang", "__n", "__bits"])
+
+    clean, mixed = (language_models.LanguageModels(tables, 1.0, {}) for _ in range(2))
+    language_models.calibrate(clean, left_out(0))
+    language_models.calibrate(mixed, left_out(3))
+    for model in (clean, mixed):
+        mean, between, sign, limit = model.typical["aa"]
+        reach = limit * math.sqrt(between + sign / 800)
+        assert abs(mean - 2) < 0.05 and 0.3 < reach < 2  # ordinary texts pass, those with wrong labels do not
+        assert model.typical["cc"][0] == 4.0 and model.typical["cc"][1:] == model.typical["dd"][1:]  # few texts: the spread of all
+        assert all(math.isfinite(x) for x in model.typical["dd"])
+
+
 def test_languages(spark):
     rng = random.Random(2)
     pools = {"aa": ["lorem", "dolor", "amet", "sit", "ipsum"], "bb": ["ölich", "keit", "über", "schau", "und"], "cc": ["queau", "été", "leçon", "ouique", "des"]}

@@ -118,7 +118,7 @@ def _added(batches):
 def count_words(train: DataFrame, bits: int) -> DataFrame:
     """(bucket, keys, counts, groups, tokens, types): every word's hash, count and ending, packed by bucket."""
     blocks = train.select("text").mapInArrow(_word_blocks(bits), "bucket int, keys binary, counts binary, groups binary")
-    return materialise(by_bucket(blocks, "bucket").mapInArrow(_added, "bucket int, keys binary, counts binary, groups binary, tokens long, types long"), "words")
+    return materialise(by_bucket(blocks, "bucket", 1 << bits).mapInArrow(_added, "bucket int, keys binary, counts binary, groups binary, tokens long, types long"), "words")
 
 
 def vocabulary(counted: DataFrame, texts: int) -> Vocabulary:
@@ -189,7 +189,7 @@ def _entry_rows(keys: np.ndarray, counts: np.ndarray):
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         if hi > lo:
             block = int(keys[lo] // step)
-            yield _entry_row(block, hi - lo, _narrow(np.diff(keys[lo:hi].astype(np.int64), prepend=block * step)), _narrow(counts[lo:hi]), None)
+            yield _entry_row(1 + block, hi - lo, _narrow(np.diff(keys[lo:hi].astype(np.int64), prepend=block * step)), _narrow(counts[lo:hi]), None)
 
 
 def _entry_row(block, n, gaps, counts, bigrams):
@@ -198,7 +198,7 @@ def _entry_row(block, n, gaps, counts, bigrams):
 
 
 def _context_counts(classes, n_units: int, turn: int):
-    """Entries of the units whose turn it is, and the class bigrams of all tokens as block -1.
+    """Entries of the units whose turn it is, and the class bigrams of all tokens as block 0; blocks of units follow.
 
     An entry's key is (2 * unit + side) * CLASSES + class; side 0 counts the classes after a unit, side 1 those before.
     """
@@ -228,7 +228,7 @@ def _context_counts(classes, n_units: int, turn: int):
                         keys, counts, held = [], [], 0
         if keys:
             yield from _entry_rows(*_added_entries(keys, counts))
-        yield _entry_row(-1, 0, None, None, bigrams.tobytes())
+        yield _entry_row(0, 0, None, None, bigrams.tobytes())
 
     return run
 
@@ -238,8 +238,8 @@ def _summed(batches):
     size = BLOCK_UNITS * 2 * CLASSES
 
     def out(block, total):
-        if block < 0:
-            return _entry_row(-1, 0, None, None, total.tobytes())
+        if block == 0:
+            return _entry_row(0, 0, None, None, total.tobytes())
         keys = np.flatnonzero(total)
         return _entry_row(block, len(keys), _narrow(np.diff(keys, prepend=0)), _narrow(total[keys]), None)
 
@@ -249,8 +249,8 @@ def _summed(batches):
             if block != now:
                 if now is not None:
                     yield out(now, total)
-                now, total = block, np.zeros(size if block >= 0 else CLASSES * CLASSES, np.int64)
-            if block < 0:
+                now, total = block, np.zeros(size if block else CLASSES * CLASSES, np.int64)
+            if block == 0:
                 total += np.frombuffer(bigrams, np.int64)
             else:
                 total[np.cumsum(_wide(gaps, n))] += _wide(counts, n)  # keys of one row differ
@@ -311,7 +311,7 @@ def _moves(classes, bigrams: np.ndarray, step: int = 256):
         of = classes.value
         for batch in batches:
             for block, n, gaps, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "n", "gaps", "counts")]):
-                start = block * BLOCK_UNITS
+                start = (block - 1) * BLOCK_UNITS
                 own = of[start : start + BLOCK_UNITS].astype(np.int64)
                 keys, counts = np.cumsum(_wide(gaps, n)), _wide(counts, n)
                 new = []
@@ -330,11 +330,12 @@ def exchange(stream: DataFrame, n_units: int, rounds: int = ROUNDS) -> tuple[np.
     classes = (1 + (np.arange(n_units) - 1) % (CLASSES - 1)).astype(np.uint8)
     classes[END] = END_CLASS
     best, history = None, []
+    blocks = 1 + -(-n_units // BLOCK_UNITS)
     for turn in range(rounds + 1):
         shared = sc.broadcast(classes)
         parts = stream.mapInArrow(tidied(_context_counts(shared, n_units, turn)), ENTRIES)
-        table = materialise(by_bucket(parts, "block").mapInArrow(tidied(_summed), ENTRIES), "contexts")
-        found = table.filter("block < 0").select("bigrams").first()
+        table = materialise(by_bucket(parts, "block", blocks).mapInArrow(tidied(_summed), ENTRIES), "contexts")
+        found = table.filter("block = 0").select("bigrams").first()
         bigrams = (np.frombuffer(found[0], np.int64) if found else np.zeros(CLASSES * CLASSES)).astype(float).reshape(CLASSES, CLASSES)
         history.append(likelihood(bigrams))
         if best is not None and history[-1] <= best[2]:
@@ -342,10 +343,10 @@ def exchange(stream: DataFrame, n_units: int, rounds: int = ROUNDS) -> tuple[np.
         best = (classes, bigrams, history[-1])
         if turn == rounds:
             break
-        moved = table.filter("block >= 0").mapInArrow(tidied(_moves(shared, bigrams)), "block int, classes binary").collect()  # a byte per unit, 2^20 at most
+        moved = table.filter("block > 0").mapInArrow(tidied(_moves(shared, bigrams)), "block int, classes binary").collect()  # a byte per unit, 2^20 at most
         classes = classes.copy()
         for block, new in moved:
-            classes[block * BLOCK_UNITS :][: len(new)] = np.frombuffer(new, np.uint8)
+            classes[(block - 1) * BLOCK_UNITS :][: len(new)] = np.frombuffer(new, np.uint8)
     return best[0].astype(np.int64), best[1], history
 
 
@@ -501,7 +502,7 @@ def score(docs: DataFrame, model: BrownModel) -> DataFrame:
     sides = rows.mapInArrow(_known_part(shared), SIDES)
     posted = rows.mapInArrow(_rare_words(shared, model.bits), POSTED)
     counts = model.counted.select("bucket", "keys", "counts", F.lit(None).cast("binary").alias("owner"), F.lit(None).cast("binary").alias("ids"))
-    priced = by_bucket(posted.unionByName(counts), "bucket").mapInArrow(_priced, "_d long, _k long, _log double, _known long")
+    priced = by_bucket(posted.unionByName(counts), "bucket", 1 << model.bits).mapInArrow(_priced, "_d long, _k long, _log double, _known long")
     priced = priced.groupBy("_d", "_k").agg(F.sum("_log").alias("_log"), F.sum("_known").alias("_known"))
     # Repeated rows are scored once and listed as often as they occur; their words were posted as often.
     first = {c: F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")}

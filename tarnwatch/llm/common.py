@@ -211,10 +211,17 @@ def joined(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.concatenate(parts).view(dtype) if parts else np.zeros(0, dtype)
 
 
-def by_bucket(df: DataFrame, key: str) -> DataFrame:
-    """Rows of one key together and in key order within a task, for `keyed_blocks`."""
+def by_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """Rows of one key together and in key order within a task, for `keyed_blocks`.
+
+    Where the keys are the numbers below `buckets`, tasks take even stretches of them, and there is one task per bucket
+    as soon as there are more buckets than the session's shuffle partitions.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key)
+    if buckets is None:
+        return df.repartition(n, key).sortWithinPartitions(key)
+    n = max(n, buckets)
+    return df.repartitionById(n, F.expr(f"cast(cast({key} as long) * {n} div {buckets} as int)")).sortWithinPartitions(key)
 
 
 def groups_of(keys: np.ndarray) -> np.ndarray:

@@ -84,7 +84,7 @@ def test_entries_of_tasks_add_up():
     want = np.bincount(keys, counts, 3 * step)
     for r in brown_lm._summed(iter(rows)):
         block, n, gaps, times, _ = (r.column(i)[0].as_py() for i in range(5))
-        at = np.cumsum(brown_lm._wide(gaps, n)) + block * step
+        at = np.cumsum(brown_lm._wide(gaps, n)) + (block - 1) * step
         assert (want[at] == brown_lm._wide(times, n)).all()
         want[at] = 0
     assert not want.any()

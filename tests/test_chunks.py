@@ -159,6 +159,16 @@ def test_interval_totals_equal_the_pairs(spark):
     assert {r["ep"]: (r["n"], r["s"]) for r in pairs} == {r["ep"]: (r["points"], r["total"]) for r in totals}
 
 
+def test_interval_pairs_keep_their_tasks(spark):
+    points = spark.range(6000).select((F.col("id") % 3).alias("k"), F.col("id").alias("at"), F.col("id").alias("src"))
+    spans = spark.range(600).select((F.col("id") % 3).alias("k"), F.col("id").alias("ep"), (F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 90).alias("hi"))
+    pairs = joins.interval_pairs(points, spans, ["k"], "at", "lo", "hi", 64)
+    assert pairs.columns == ["k", "at", "src", "ep", "lo", "hi"]
+    got = sorted((r["ep"], r["src"]) for r in pairs.collect())
+    assert got == sorted((e, x) for e in range(600) for x in range(e * 10, min(e * 10 + 91, 6000)) if x % 3 == e % 3)
+    assert pairs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_overlap_by_running_maximum(spark):
     spans = spark.createDataFrame([(1, "a", 100, 110), (2, "a", 500, 510), (3, "b", 100, 110), (4, "a", 131, 140)], "id int, k string, s bigint, e bigint")
     known = spark.createDataFrame([("a", 0, 600 - 200), ("a", 105, 107)], "k string, s bigint, e bigint").filter("e < 300")

@@ -114,3 +114,12 @@ def test_weather_payload(spark):
     out = readers.weather_from_payload(spark.createDataFrame([(text,)], "payload string")).orderBy("timestamp").collect()
     assert out[0]["cloud_cover"] == pytest.approx(0.4) and out[1]["air_temperature"] is None and out[1]["rain_mm"] == 1.5
     assert out[0]["wind_speed"] is None
+
+
+def test_grids_read_the_readings_once(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:04", "20", "7", "3", "8"), ("a", "2024-01-01 02:40:00", "22", "7", "3", "8"), ("b", "2024-01-01 00:30:00", "21", "7", "3", "8")]
+    readings(spark, rows).write.parquet(str(tmp_path / "readings"))
+    table = spark.read.parquet(str(tmp_path / "readings"))
+    for made, n in ((grid.slot_grid(table), 18), (grid.hourly_grid(table, min_valid=1), 4)):
+        assert made.count() == n
+        assert made.inputFiles() and all("/slots-" in f for f in made.inputFiles())

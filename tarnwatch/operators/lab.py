@@ -10,11 +10,14 @@ from tarnwatch.functions.working import all_present
 from .chunks import carry_last
 from .grid import earliest_wins
 from .joins import HOUR_US, as_of_row
+from .lineage import materialise
 
 
 def clean_lab(lab: DataFrame, target: str, order: str = "src_ord") -> DataFrame:
     """Usable samples (see `readers.read_lab`), the first to arrive per station and time."""
-    kept = lab.filter("usable").select("station_id", "timestamp", target, order)
+    # Written first: a filter on parsed columns is pushed into the scan with the parsing in it, several times over.
+    parsed = materialise(lab.select("station_id", "timestamp", target, order, "usable"), "lab")
+    kept = parsed.filter("usable").drop("usable")
     return earliest_wins(kept, ["station_id", "timestamp"], [order])
 
 

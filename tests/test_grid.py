@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
 from tarnwatch.operators import grid
+from tarnwatch.operators.lab import clean_lab
 from tarnwatch.operators.reports import prepare_report
 from tarnwatch.sources import readers, vendor
 from tarnwatch.sources.contracts import MissingColumns, require_columns
@@ -123,3 +124,11 @@ def test_grids_read_the_readings_once(spark, tmp_path):
     for made, n in ((grid.slot_grid(table), 18), (grid.hourly_grid(table, min_valid=1), 4)):
         assert made.count() == n
         assert made.inputFiles() and all("/slots-" in f for f in made.inputFiles())
+
+
+def test_lab_text_is_parsed_before_it_is_filtered(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00", "<1", 2), ("a", "2024-01-01 00:00:00", "3", 1), ("a", "2024-01-02 00:00:00", "n/a", 3), ("b", "never", "2", 4)]
+    spark.createDataFrame(rows, "station_id string, timestamp string, bod string, src_ord int").write.parquet(str(tmp_path / "lab"))
+    kept = clean_lab(readers.read_lab(spark.read.parquet(str(tmp_path / "lab")), "bod"), "bod")
+    assert [(r["station_id"], r["bod"], r["src_ord"]) for r in kept.collect()] == [("a", 3.0, 1)]
+    assert kept.inputFiles() and all("/lab-" in f for f in kept.inputFiles())

@@ -78,6 +78,29 @@ def test_leaks_with_substitutions(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_beyond_the_broadcast_move_hits_only(spark, monkeypatch):
+    """Of 60,000 stretches of documents only those that items may have, and of 300 texts only those with hits, go on to joins."""
+    item = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(40)), None, None, None, None, None) for i in range(300)]
+    rows += [(1000, " ".join(["a", "b", *item, "c"]), None, None, None, None, None), (None, " ".join(item), None, None, None, None, None)]
+    bench = spark.createDataFrame([(i, " ".join(item)) for i in range(3)] + [(None, " ".join(item))], "item_id long, text string")
+    docs, passed = frame(spark, rows), []
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "sift", lambda *a, own=decontaminate.sift: passed.append(own(*a)) or passed[-1])
+    found = sorted((r["doc_id"] or 0, r["item_id"], r["start"], r["matched"]) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert found == [(0, i, 0, 13) for i in range(3)] + [(1000, i, 2, 13) for i in range(3)]
+    stretches, texts = [p.count() for p in passed]
+    assert 2 * sum(20 - m[-1] for m in decontaminate.MASKS) <= stretches < 1000 and 2 <= texts < 10
+
+
+def test_sieve_holds_back_no_partner(spark):
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("h"))
+    for known in (0, 1, 30_000):
+        passed = decontaminate.sift(rows, rows.filter(F.col("id") < known), "h")
+        assert passed.columns == ["id", "h"] and passed.filter(F.col("id") < known).count() == known
+        assert passed.count() <= known + 400
+
+
 def test_masks_hit_every_overlap_that_counts():
     for n in range(1, 14):
         lost = n - math.ceil(n * decontaminate.AGREE) if n >= decontaminate.SHORTEST else 0
